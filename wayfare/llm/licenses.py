@@ -57,7 +57,7 @@ TEMPLATES = {
 
 
 #: Words that are too frequent in prose to prune with.
-COMMON = {"or", "any", "into", "unless", "shall", "without", "be", "as", "can", "may", "if", "a", "you", "use", "see", "an", "are", "not", "at", "writing", "copy", "following", "the", "of", "and", "to", "in", "is", "this", "that", "with", "for", "from", "under", "by", "version", "work", "public", "released"}
+COMMON = {"free", "other", "person", "or", "any", "into", "unless", "shall", "without", "be", "as", "can", "may", "if", "a", "you", "use", "see", "an", "are", "not", "at", "writing", "copy", "following", "the", "of", "and", "to", "in", "is", "this", "that", "with", "for", "from", "under", "by", "version", "work", "public", "released"}
 
 
 def normalise(t: str) -> list[str]:
@@ -76,7 +76,7 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
 
 
 def needles(grams: list[str], threshold: float) -> set[str]:
-    """Words of which any segment that reaches the threshold against the template has one.
+    """Words, or bigrams, of which any segment that reaches the threshold against the template has one.
 
     It shares at least ``t / (2 - t)`` of the template's bigrams, so it misses fewer than the words returned here stand in.
     Long words that stand in several bigrams come first.
@@ -86,8 +86,10 @@ def needles(grams: list[str], threshold: float) -> set[str]:
     while len(grams) - len(left) <= len(grams) - shared:
         words = [w for pair in left.values() for w in pair]
         best = max(dict.fromkeys(words), key=lambda w: ((len(w) > 3 or words.count(w) > 1) * (w not in COMMON), min(len(w), 6) * words.count(w), w))
+        if len(best) <= 3:  # too frequent alone: a whole bigram instead
+            best = max(left, key=lambda g: (len(g), g))
         out.add(best)
-        left = {g: pair for g, pair in left.items() if best not in pair}
+        left = {g: pair for g, pair in left.items() if best not in pair and best != g}
     return out
 
 
@@ -110,8 +112,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     least, most = min(s[0] for s in span), max(s[1] for s in span)
     d = docs.select(F.col(id_column).alias("id"), F.lower(text(column)).alias("t"))
     # a text without any word that a match must have is done; the comparison below is for the rest
+    between = r"[^\p{L}\p{N}]+"
     words = sorted(set().union(*(needles(v, threshold) for v in grams.values())))
-    maybe = F.col("t").rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, words))})(?![\p{{L}}\p{{N}}])")
+    maybe = F.col("t").rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(w.replace(' ', between) for w in words)})(?![\p{{L}}\p{{N}}])")
     d = d.withColumn("t", F.when(maybe, F.col("t")).otherwise(F.lit("")))
     # one pass makes words and keeps only what ends a segment; a blank line marks a paragraph
     d = d.withColumn("t", F.regexp_replace("t", r"[^\p{L}\p{N}.!?\n]+", " "))
