@@ -1,14 +1,16 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-1. Each task pre-tokenizes its documents in chunks of bounded size. A chunk's distinct words get local numbers, frequent
-   ones first; every pre-token leaves its word's number at its position. Positions are kept per document, words per chunk.
+1. Each task pre-tokenizes its documents in chunks of bounded size. A chunk's distinct words get local numbers by first
+   occurrence; every pre-token leaves its word's number at its position. One scan gives the distinct words of each chunk,
+   another the positions of each document, which so never travel with the words.
 2. Distinct words are dealt out by a hash bucket, sorted by bucket, and each is encoded once where its bucket lies. Only
    distinct words of a chunk travel, so a word that is a twentieth of all pre-tokens costs one row part per chunk.
 3. Ids go back to their chunk, and each document is put together by position. Decoding looks each id up in the table of
    token bytes, whose size the vocabulary fixes.
 
 Defined cases: a null text is an empty text; an empty text has no tokens; repeated rows and ids are encoded row by row;
-one very long document makes one chunk of its own. Special tokens are never produced: their strings are ordinary text.
+one very long document makes one chunk of its own. docs must read alike on both scans, as a table does; a chunk that
+changed between them raises an error. Special tokens are never produced: their strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import batches, materialize, text
+from wayfare.llm.common import batches, text
 
 #: Text bytes of a chunk, and word buckets for each shuffle partition.
-CHUNK_BYTES, BUCKETS_EACH = 4 << 20, 4
+CHUNK_BYTES, BUCKETS_EACH = 16 << 20, 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -115,55 +117,66 @@ def _chunks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
         yield keys, texts
 
 
-def _exploded(pattern: str, buckets: int, kind: pa.DataType):
-    """The mapInArrow function of step 1: position rows (bucket -1) per document and word rows per chunk and bucket."""
+def _numbered(it: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list, dict[str, int], list[list[int]]]]:
+    """(chunk, keys, number of each distinct word by first occurrence, numbers of the pre-tokens by document) of each chunk.
+
+    A chunk is named by its content, so both scans give it one name, and chunks of equal content share their words.
+    """
+    import regex
+    import xxhash
+
+    find = regex.compile(pattern).findall
+    for keys, texts in _chunks(it):
+        number: dict[str, int] = {}
+        name = xxhash.xxh3_64()
+        seqs = []
+        for t in texts:
+            name.update(t.encode("utf-8", "surrogatepass"))
+            name.update(b"\xff")
+            seqs.append([number.setdefault(w, len(number)) for w in find(t)])
+        yield name.intdigest() >> 1, keys, number, seqs
+
+
+def _words(pattern: str, buckets: int):
+    """The mapInArrow function of the first scan: a row for each chunk and bucket with its distinct words and their numbers."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-        import uuid
         import xxhash
 
-        find = regex.compile(pattern).findall
-        task = uuid.uuid4().int >> 65  # written once, so it need not be the same if a task is run again
-        for no, (keys, texts) in enumerate(_chunks(it)):
-            number: dict[str, int] = {}
-            seqs = []
-            for t in texts:
-                seqs.append(np.array([number.setdefault(w, len(number)) for w in find(t)], np.int64))
-            counts = np.bincount(np.concatenate(seqs), minlength=len(number)) if number else np.zeros(0, np.int64)
-            place = np.empty(len(number), np.int64)
-            place[np.argsort(-counts, kind="stable")] = np.arange(len(number))
-            chunk = (task + no) & (2**63 - 1)
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * n, pa.int64()), pa.array([-1] * n, pa.int32()), pa.array([k.as_py() for k in keys], kind), pa.array([pack(place[s]) for s in seqs], pa.binary())],
-                ["chunk", "bucket", "id", "data"],
-            )
-            if not number:
-                continue
+        for chunk, _, number, _ in _numbered(it, pattern):
             words = [w.encode("utf-8", "surrogatepass") for w in number]
+            if not words:
+                continue
             home = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
-            order = np.lexsort((place, home))
-            cut = np.flatnonzero(np.diff(home[order])) + 1
+            order = np.argsort(home, kind="stable")
             rows = []
-            for part in np.split(order, cut):
-                # numbers of the words in this chunk, as differences, then lengths, then the words themselves
-                p, ws = place[part], [words[i] for i in part]
-                rows.append((int(home[part[0]]), _blob(pack(np.diff(p, prepend=0)), pack(np.array([len(w) for w in ws])), b"".join(ws))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.nulls(len(rows), kind), pa.array([r[1] for r in rows], pa.binary())],
-                ["chunk", "bucket", "id", "data"],
-            )
+            for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+                ws = [words[i] for i in part]
+                rows.append((int(home[part[0]]), _blob(pack(np.diff(part, prepend=0)), pack(np.array([len(w) for w in ws])), b"".join(ws))))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "bucket", "data"])
+
+    return run
+
+
+def _positions(pattern: str):
+    """The mapInArrow function of the second scan: a row for each document with the word number at each position."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, keys, _, seqs in _numbered(it, pattern):
+            data = [pack(np.array(s, np.int64)) for s in seqs]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(keys), pa.int64()), pa.array([k.as_py() for k in keys], keys[0].type), pa.array(data, pa.binary())], ["chunk", "id", "data"])
 
     return run
 
 
 def _blob(*parts: bytes) -> bytes:
-    head = b"".join(len(p).to_bytes(4, "big") for p in parts)
-    return bytes([len(parts)]) + head + b"".join(parts)
+    """Parts in one compressed value."""
+    raw = bytes([len(parts)]) + b"".join(len(p).to_bytes(4, "big") for p in parts) + b"".join(parts)
+    return len(raw).to_bytes(4, "big") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _parts(blob: bytes) -> list[bytes]:
+def _parts(packed: bytes) -> list[bytes]:
+    blob = pa.decompress(packed[4:], int.from_bytes(packed[:4], "big"), codec="zstd", asbytes=True)
     n, at, out = blob[0], 1 + 4 * blob[0], []
     for k in range(n):
         size = int.from_bytes(blob[1 + 4 * k : 5 + 4 * k], "big")
@@ -215,7 +228,9 @@ def _assembled(tokens, kind: pa.DataType, full: bool):
             numbers, counts, ids = map(unpack, _parts(data))
             for n, x in zip(np.cumsum(numbers).tolist(), np.split(ids, np.cumsum(counts)[:-1])):
                 ids_of[n] = x
-        size = len(ids_of)
+        size = max(ids_of, default=-1) + 1
+        if size != len(ids_of):
+            raise ValueError("a word of the chunk has no ids: its documents changed between the scans")
         each = [ids_of[i].tolist() for i in range(size)]
         said = [",".join(map(str, x)) for x in each]
         raw = [b"".join([table[i] for i in x]) for x in each]
@@ -250,10 +265,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
     tokens = spark.sparkContext.broadcast({i: b for b, i in ranks.items()})
     kind_sql, kind = docs.schema[id_column].dataType.simpleString(), to_arrow_type(docs.schema[id_column].dataType)
     buckets = BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = docs.select(F.col(id_column).alias("id"), text(column).alias("t")).mapInArrow(_exploded(pattern, buckets, kind), f"chunk long, bucket int, id {kind_sql}, data binary")
-    made = materialize(made)
-    places = made.where("bucket < 0").select("chunk", "id", "data")
-    words = made.where("bucket >= 0").select("chunk", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
+    d = docs.select(F.col(id_column).alias("id"), text(column).alias("t"))
+    words = d.mapInArrow(_words(pattern, buckets), "chunk long, bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    places = d.mapInArrow(_positions(pattern), f"chunk long, id {kind_sql}, data binary")
     ids = words.mapInArrow(_encoded(pattern, held), "chunk long, data binary")
     schema = f"id {kind_sql}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
     return places.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_assembled(tokens, kind, full), schema)
