@@ -28,6 +28,8 @@ from wayfare.llm.components import components
 BITS, BUDGET, WORDS, SEED = 64, 3, 3, 42
 #: Leaves of a subtrie beyond which it is dealt out by node pairs of its next SPLIT_BITS bits.
 SPLIT, SPLIT_BITS = 20_000, 6
+#: Leaves of a subtrie on average, as long as its band has bits for that.
+EACH = 128
 
 
 def fingerprint(data: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -158,19 +160,21 @@ def trie_links(fps: np.ndarray, budget: int = BUDGET, sides: np.ndarray | None =
     return links
 
 
-def links(fps: DataFrame, budget: int = BUDGET, split: int = SPLIT, split_bits: int = SPLIT_BITS) -> DataFrame:
+def links(fps: DataFrame, n: int, budget: int = BUDGET, split: int = SPLIT, split_bits: int = SPLIT_BITS) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fps(fp)`` within ``budget`` bits, a spanning forest for each subtrie.
 
     Band ``i`` rotates its bits to the front, so that the shared band is the root of the subtrie and the traversal starts
     below it. Each of ``budget + 1`` copies of a fingerprint goes to one subtrie, or, where that has more than ``split``
-    leaves, to the node pairs of its next ``split_bits`` bits that are within the budget.
+    leaves, to the node pairs of its next ``split_bits`` bits that are within the budget. Of ``n`` fingerprints, the first
+    log2(n / EACH) bits of a band, all of them at most, name the subtrie; the traversal takes it from there.
     """
     width = BITS // (budget + 1)
+    depth = min(width, max(1, (max(n, 1) // EACH).bit_length()))
     bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.expr(f"(fp << {i * width}) | shiftrightunsigned(fp, {BITS - i * width})" if i else "fp").alias("rot")) for i in range(budget + 1)])).alias("x")
-    rows = fps.select(bands).select("x.band", "x.rot").withColumn("root", F.expr(f"shiftrightunsigned(rot, {BITS - width})"))
+    rows = fps.select(bands).select("x.band", "x.rot").withColumn("root", F.expr(f"shiftrightunsigned(rot, {BITS - depth})"))
     sizes = rows.groupBy("band", "root").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, ["band", "root"])
-    node = F.expr(f"shiftrightunsigned(rot, {BITS - width - split_bits}) & {(1 << split_bits) - 1}").cast("int")
+    node = F.expr(f"shiftrightunsigned(rot, {BITS - depth - split_bits}) & {(1 << split_bits) - 1}").cast("int")
     near = [[j for j in range(1 << split_bits) if (i ^ j).bit_count() <= budget] for i in range(1 << split_bits)]
     cells = F.element_at(F.array(*[F.array(*[F.lit(f"{min(i, j)}-{max(i, j)}") for j in js]) for i, js in enumerate(near)]), node + 1)
     rows = rows.withColumn("cell", F.explode(F.when(F.col("n") > split, cells).otherwise(F.array(F.lit("")))))
@@ -191,8 +195,8 @@ def links(fps: DataFrame, budget: int = BUDGET, split: int = SPLIT, split_bits:
 def groups(docs: DataFrame, id_column: str = "doc_id", column: str = "text", budget: int = BUDGET, words: int = WORDS) -> DataFrame:
     """(id, fp, component): each row with its class, the smallest id reachable over links, itself included."""
     rows = materialize(fingerprints(docs, id_column, column, words))
-    leaves = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    forest = components(links(leaves.select("fp"), budget))
+    leaves = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    forest = components(links(leaves.select("fp"), leaves.count(), budget))
     rooted = leaves.join(forest, leaves.fp == forest.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     classes = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component")
