@@ -227,7 +227,8 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, th, lo, hi): starts lo to hi of repeated strings, for ``docs(id, th, t)``; the same starts may come twice."""
     kind = docs.schema["id"].dataType.simpleString()
     s = materialize(docs.select("id", "th", "t").mapInArrow(_sampled(length), f"id {kind}, th long, h long, c long, x long, n int, o int"))
-    buckets = s.groupBy("h").agg(F.count("*").alias("rows"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("rows > 1").select("h", (F.col("c1") == F.col("c2")).alias("alike"))
+    # written, so that the join has a plain exchange on both sides and a hot bucket of it can be split
+    buckets = materialize(s.groupBy("h").agg(F.count("*").alias("rows"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("rows > 1").select("h", (F.col("c1") == F.col("c2")).alias("alike")))
     s = materialize(s.join(buckets, "h"))
     whole = lambda d: d.select("id", "th", F.col("x").alias("lo"), (F.col("x") + F.col("n") - 1).alias("hi"))
     mixed = s.where("NOT alike")
