@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from wayfare.llm.common import batches, text
 
 BLOCK, RATE = 1024, 8000
-#: Frames that are coded together.
-TOGETHER = 2048
+#: Frames that are decoded and encoded together; encoding holds about 150 bytes for each sample meanwhile.
+TOGETHER, ENCODED = 2048, 512
 
 
 def _crc_table(bits: int, poly: int) -> np.ndarray:
@@ -151,8 +151,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         for k in range(len(frames[i])):
             by_size.setdefault(min(BLOCK, len(p) - k * BLOCK), []).append((i, k))
     for size, places in by_size.items():
-        for at in range(0, len(places), TOGETHER):
-            part = places[at : at + TOGETHER]
+        for at in range(0, len(places), ENCODED):
+            part = places[at : at + ENCODED]
             raw = np.frombuffer(b"".join([payloads[i][k * BLOCK : k * BLOCK + size] for i, k in part]), np.uint8).reshape(len(part), size)
             for (i, k), made in zip(part, _encode_frames(raw.astype(np.int16) - 128, np.array([k for _, k in part]))):
                 frames[i][k] = made
