@@ -79,7 +79,7 @@ class Model:
         return score
 
 
-def fit(bags: list[list[list[str]]], labels: np.ndarray, rounds: int = 150, rate: float = 0.3, l2: float = 1e-4) -> Model:
+def fit(bags: list[list[list[str]]], labels: np.ndarray, rounds: int = 400, rate: float = 0.3, l2: float = 1e-6) -> Model:
     """A model from bags (documents of sentences of features) by full-batch adaptive gradient steps."""
     y = np.asarray(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
