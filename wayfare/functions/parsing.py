@@ -54,4 +54,4 @@ def strict_true(s: Column) -> Column:
 
 
 def split_list(s: Column) -> Column:
-    return F.transform(F.split(s, ","), F.trim)
+    return F.transform(F.split(s, ","), lambda x: F.trim(x))

@@ -1,6 +1,235 @@
-"""All queries by name, and the SQL that gives the same rows."""
+"""All queries by name over the driver's tables; oracles.py has the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfare.functions import codes, parsing
+from wayfare.operators import criteria as crit
+from wayfare.operators import indexes, mapping, metrics, recommend, search, sketches, storage, userstate
+from wayfare.operators.criteria import STANDARD, SearchCriteria
+from wayfare.plans import api
+from wayfare.plans.oracles import ORACLE_SQL
+from wayfare.sources import readers
+from wayfare.sources.fixtures import events, hotels, offers, request_log, table, user_log
+
+#: Production-like criteria of the recommendations: wide enough for every hotel.
+WIDE = SearchCriteria((), datetime(1995, 1, 1), datetime(2002, 12, 31), None, 2, None)
+KEYS = ["hotel_id", "price", "l_orderkey", "l_partkey", "l_linenumber"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def named(name: str, f: Callable[[SparkSession, str], DataFrame]) -> None:
+    QUERIES[name] = f
+
+
+def best(s: SparkSession, d: str, c: SearchCriteria = STANDARD, **kw) -> DataFrame:
+    return search.best_offers(offers(s, d), hotels(s, d), c, **kw)
+
+
+named("best_offers_by_hotel", lambda s, d: best(s, d))
+named("best_offers_min_by", lambda s, d: best(s, d, WIDE))
+named("best_offers_rank", lambda s, d: best(s, d, rank=True))
+named("best_offers_fallback", lambda s, d: search.best_offers_fallback(offers(s, d), hotels(s, d), STANDARD))
+named("best_offers_chunks", lambda s, d: search.chunks(best(s, d), 10).select("hotel_id", "min_price", "chunk"))
+named("best_offers_api_json", lambda s, d: api.best_offers_json(best(s, d)))
+named("hotel_offers", lambda s, d: search.hotel_offers(offers(s, d), 1, replace(STANDARD, duration=None)).select(*KEYS, "outbound_departure", "inbound_departure"))
+named("hotel_offers_api_json", lambda s, d: api.hotel_offers_json(search.hotel_offers(offers(s, d), 1, replace(STANDARD, duration=None))))
+named("first_n_matches", lambda s, d: search.first_matches(offers(s, d), STANDARD, 20).select(*KEYS))
+
+
+@query
+def merge_results(s: SparkSession, d: str) -> DataFrame:
+    parts = [best(s, d, replace(STANDARD, departure_airports=a)) for a in (("FRA",), ("MUC",), ("FRA", "MUC"))]
+    return search.merge_results([p.select("hotel_id", "min_price", "departure_date", "room_type", "meal_type") for p in parts])
+
+
+FILTERS = {
+    "filter_passengers": SearchCriteria(count_adults=2, count_children=0),
+    "filter_duration_nights": SearchCriteria(duration=7),
+    "filter_duration_elapsed": SearchCriteria(duration=7, duration_mode="elapsed"),
+    "filter_airports": SearchCriteria(("FRA", "MUC")),
+    "filter_dates": SearchCriteria(earliest_departure=datetime(1996, 1, 1), latest_return=datetime(1996, 12, 31)),
+    "filter_meal_room": SearchCriteria(meal_types=("All Inclusive", "Half Board"), room_types=("Suite",)),
+    "filter_ocean_view": SearchCriteria(ocean_view=True),
+    "filter_price_range": SearchCriteria(min_price=100.0, max_price=500.0),
+    "filter_hotel_stars": SearchCriteria(hotel_stars=(4.0, 4.5)),
+    "filter_hotel_ids": SearchCriteria(hotel_ids=(1, 2, 3)),
+    "filter_all": SearchCriteria(("FRA", "MUC"), datetime(1995, 1, 1), datetime(2001, 12, 31), 7, 2, 0, ("All Inclusive", "Half Board"), ("Double Room", "Suite"), None, 50.0, 1500.0, (1.0, 2.0, 3.0, 4.0, 5.0)),
+}
+for _name, _c in FILTERS.items():
+    named(_name, lambda s, d, c=_c: search.matching(offers(s, d), c, hotels(s, d) if c.hotel_stars else None).select(*KEYS))
+
+named("arrival_default", lambda s, d: offers(s, d).select(*KEYS, (F.col("outbound_departure") + F.expr("INTERVAL 2 HOURS")).alias("outbound_arrival"), (F.col("inbound_departure") + F.expr("INTERVAL 2 HOURS")).alias("inbound_arrival")))
+named("offers_known_hotels", lambda s, d: mapping.known(offers(s, d), hotels(s, d)).groupBy("hotel_id").agg(F.count("*").alias("n")))
+named("orphan_offers", lambda s, d: mapping.orphans(offers(s, d), hotels(s, d)))
+named("hotel_mapping_stats", lambda s, d: mapping.stats(offers(s, d), hotels(s, d)))
+named("hotel_mapping_fallback", lambda s, d: mapping.with_fallback(offers(s, d), hotels(s, d)))
+
+for _name, _f in {
+    "offers_per_hotel": indexes.offers_per_hotel, "largest_hotel": indexes.largest_hotel, "index_stats": indexes.index_stats, "airport_index_counts": indexes.airport_counts, "airport_any_counts": indexes.airport_any_counts,
+    "month_index_counts": indexes.month_counts, "month0_counts": indexes.month0_counts, "passenger_index_counts": indexes.passenger_counts, "price_range_counts": indexes.price_range_counts, "price_bucket_counts": indexes.price_bucket_counts,
+    "index_memory_estimate": indexes.memory_estimate, "filter_options": indexes.filter_options, "bitset_counts": indexes.bitset_counts,
+}.items():
+    named(_name, lambda s, d, f=_f: f(offers(s, d)))
+
+EARLIEST, LATEST = datetime(1996, 3, 1), datetime(1996, 6, 30)
+named("index_selectivity", lambda s, d: indexes.selectivity(offers(s, d), airport=F.col("outbound_departure_airport").isin("FRA", "MUC"), passengers=(F.col("count_adults") == 2) & (F.col("count_children") == 0), nights=crit.nights() == 7))
+named("candidates_by_airport", lambda s, d: indexes.by_airports(offers(s, d), ("FRA", "PMI")).groupBy("hotel_id").agg(F.count("*").alias("n")))
+named("candidates_by_date", lambda s, d: indexes.by_dates(offers(s, d), EARLIEST, LATEST).select(*KEYS, "outbound_departure"))
+named("candidates_by_passengers", lambda s, d: indexes.by_passengers(offers(s, d), 2, 0).groupBy("hotel_id").agg(F.count("*").alias("n")))
+
+
+@query
+def index_intersection(s: SparkSession, d: str) -> DataFrame:
+    o = offers(s, d)
+    return indexes.intersect(indexes.by_airports(o, ("FRA",)), indexes.by_dates(o, EARLIEST, LATEST), indexes.by_passengers(o, 2, 0)).select(*KEYS)
+
+
+named("bucket_search", lambda s, d: indexes.bucket_search(offers(s, d), [1, 2, 3, 4], 120.0, 480.0, ["FRA", "MUC"]).select(*KEYS))
+named("dedupe_key9", lambda s, d: indexes.dedupe(offers(s, d)).select(*KEYS))
+named("mock_hotels", lambda s, d: readers.mock_hotels(s, 100))
+
+named("rec_personalized", lambda s, d: _flat(recommend.personalized(best(s, d, WIDE), userstate.is_shortlisted(userstate.shortlist_items(user_log(s, d)), 1))))
+named("rec_similar", lambda s, d: _flat(recommend.similar(best(s, d, WIDE), hotels(s, d), 5)))
+named("rec_trending", lambda s, d: _flat(recommend.trending(best(s, d, WIDE))))
+named("rec_value_deals", lambda s, d: _flat(recommend.value_deals(best(s, d, WIDE))))
+
+
+def _flat(d: DataFrame) -> DataFrame:
+    return d.withColumn("reasons", F.array_join("reasons", "; "))
+
+
+def raw_offers(s: SparkSession, d: str) -> DataFrame:
+    """Offers as text with dirt: some ids, prices and dates are malformed, date formats rotate."""
+    o = offers(s, d)
+    day = lambda c: F.when(F.col("l_orderkey") % 3 == 0, F.date_format(c, "yyyy-MM-dd HH:mm")).when(F.col("l_orderkey") % 3 == 1, F.date_format(c, "dd/MM/yyyy HH:mm:ss")).otherwise(F.date_format(c, "yyyy-MM-dd"))
+    return o.select(
+        F.when(F.col("l_partkey") % 17 == 0, "invalid").otherwise(F.col("hotel_id").cast("string")).alias("hotelid"), F.when(F.col("l_partkey") % 19 == 0, "").otherwise(F.floor("price").cast("string")).alias("price"),
+        F.col("count_adults").cast("string").alias("countadults"), F.col("count_children").cast("string").alias("countchildren"),
+        F.when(F.col("l_partkey") % 23 == 0, "not a date").otherwise(day("outbound_departure")).alias("departuredate"), day("inbound_departure").alias("returndate"),
+        F.col("outbound_departure_airport").alias("outbounddepartureairport"), F.col("inbound_departure_airport").alias("inbounddepartureairport"), F.col("outbound_arrival_airport").alias("outboundarrivalairport"), F.col("inbound_arrival_airport").alias("inboundarrivalairport"),
+        F.col("meal_type").alias("mealtype"), F.when(F.col("ocean_view"), "true").otherwise("yes").alias("oceanview"), F.col("room_type").alias("roomtype"),
+    )
+
+
+PARSED = ["hotel_id", "price", "outbound_departure", "inbound_departure", "duration", "ocean_view"]
+named("ingest_offers_named", lambda s, d: readers.parse_offers(raw_offers(s, d)).valid.groupBy(*PARSED).agg(F.count("*").alias("n")))
+named("ingest_offers_pos15", lambda s, d: readers.parse_offers(raw_offers(s, d), "lax", "prefix").valid.groupBy(*PARSED).agg(F.count("*").alias("n")))
+named("ingest_offers_pos14", lambda s, d: readers.parse_offers(raw_offers(s, d).withColumn("duration", F.lit("9")), "lax").valid.groupBy(*PARSED).agg(F.count("*").alias("n")))
+named("ingest_stats", lambda s, d: readers.parse_offers(raw_offers(s, d)).stats)
+named("ingest_hotels", lambda s, d: readers.parse_hotels(table(s, d, "supplier").select(F.expr("CASE WHEN s_suppkey % 17 = 0 THEN 'x' ELSE CAST(s_suppkey + 1 AS STRING) END").alias("hotelid"), F.expr("CASE WHEN s_suppkey % 19 = 0 THEN ' ' ELSE concat('\"', s_name, '\"') END").alias("hotelname"), F.expr("CAST(s_suppkey % 7 AS STRING)").alias("hotelstars"))).valid)
+
+DATES = "CASE event_id % 5 WHEN 0 THEN date_format(ts, 'yyyy-MM-dd') WHEN 1 THEN date_format(ts, 'dd/MM/yyyy') WHEN 2 THEN date_format(ts, 'dd-MM-yyyy') WHEN 3 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss') ELSE 'invalid' END"
+named("parse_dates", lambda s, d: events(s, d).select("event_id", parsing.parse_date(F.expr(DATES)).alias("parsed")))
+
+
+@query
+def typed_parse(s: SparkSession, d: str) -> DataFrame:
+    t = events(s, d).select("event_id", F.expr("CASE event_id % 4 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN concat(event_id, 'abc') WHEN 2 THEN 'yes' ELSE 'true' END").alias("t"))
+    return t.select("event_id", parsing.parse_integer(F.col("t")).alias("whole"), parsing.parse_prefix_integer(F.col("t")).alias("prefix"), parsing.parse_boolean(F.col("t")).alias("flag"), parsing.strict_true(F.col("t")).alias("strict"))
+
+
+named("parse_criteria", lambda s, d: events(s, d).select("event_id", F.array_join(parsing.split_list(F.expr("concat(' fra , ', event_type)")), "|").alias("airports"), F.expr("TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE '7' END AS INT)").alias("duration")))
+named("date_utils", lambda s, d: events(s, d).select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("day_start"), (F.date_trunc("DAY", "ts").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MILLISECOND")).alias("day_end"), (F.col("ts") + F.expr("INTERVAL 7 DAYS")).alias("week_later"), F.col("ts").between(F.lit("2024-01-10").cast("timestamp_ntz"), F.lit("2024-02-10").cast("timestamp_ntz")).alias("in_range")))
+named("duration_nights", lambda s, d: offers(s, d).groupBy(crit.nights().cast("int").alias("nights"), crit.elapsed_days().alias("elapsed")).agg(F.count("*").alias("n")))
+named("months_in_range", lambda s, d: offers(s, d).select(F.explode(F.expr("sequence(trunc(outbound_departure, 'MM'), trunc(inbound_departure, 'MM'), INTERVAL 1 MONTH)")).alias("m")).groupBy(F.date_format("m", "yyyy-MM").alias("month")).agg(F.count("*").alias("n")))
+
+
+@query
+def validate_criteria(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d).select(
+        "event_id", F.expr("CASE event_id % 4 WHEN 0 THEN array('FRA') WHEN 1 THEN array('FRA', 'MUCX') WHEN 2 THEN CAST(array() AS ARRAY<STRING>) ELSE array('DUS', 'HAM') END").alias("departure_airports"), F.col("ts").alias("earliest_departure"),
+        F.expr("ts + make_dt_interval(CAST(event_id % 5 AS INT) - 1, 0, 0, 0)").alias("latest_return"), F.expr("CAST(event_id % 400 AS INT)").alias("duration"), F.expr("CAST(event_id % 12 AS INT)").alias("count_adults"), F.expr("CAST(event_id % 13 - 1 AS INT)").alias("count_children"),
+        F.expr("CASE WHEN event_id % 6 = 0 THEN -1.0D WHEN event_id % 6 = 1 THEN 500.0D END").alias("min_price"), F.expr("CASE WHEN event_id % 7 = 0 THEN 400.0D END").alias("max_price"), F.expr("CASE WHEN event_id % 9 = 0 THEN 6.0D END").alias("stars"),
+    )
+    return crit.validate_criteria(e).select("event_id", F.size("errors").alias("n_errors"), F.array_join("errors", "; ").alias("errors"))
+
+
+named("validate_hotel_id", lambda s, d: crit.validate_hotel_id(events(s, d).select("event_id", F.expr("CASE event_id % 4 WHEN 0 THEN '0' WHEN 1 THEN concat('0', event_id) WHEN 2 THEN 'a1' ELSE CAST(event_id AS STRING) END").alias("hotel_id"))))
+named("validate_offers", lambda s, d: crit.validate_offers(offers(s, d).withColumns({"price": F.when(F.col("l_partkey") % 17 == 0, -1.0).otherwise(F.col("price")), "meal_type": F.when(F.col("l_partkey") % 19 == 0, " ").otherwise(F.col("meal_type"))})).groupBy(F.array_join("errors", "; ").alias("errors")).agg(F.count("*").alias("n")))
+named("validate_hotels", lambda s, d: crit.validate_hotels(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END").alias("name"), F.expr("CAST(s_suppkey % 8 AS DOUBLE)").alias("stars"))).select("id", F.array_join("errors", "; ").alias("errors")))
+
+
+@query
+def data_quality(s: SparkSession, d: str) -> DataFrame:
+    o, h = offers(s, d), hotels(s, d)
+    return o.join(h, o.hotel_id == h.id, "left").agg(
+        F.count("*").alias("offers"), F.count_if(F.col("hotel_id").isNull()).alias("empty_ids"), F.count_if(F.col("inbound_departure") < F.col("outbound_departure")).alias("bad_dates"),
+        F.count_if(~((F.col("price") > 0) & (F.col("price") <= 50000))).alias("bad_prices"), F.count_if(F.col("id").isNull()).alias("orphans"),
+    )
+
+
+@query
+def criteria_degrade(s: SparkSession, d: str) -> DataFrame:
+    wide = SearchCriteria(("FRA", "MUC", "DUS", "HAM", "BER", "CGN"), datetime(1996, 1, 1), datetime(1996, 12, 31))
+    parts = [offers(s, d).where(crit.condition(crit.degrade(wide, level))).agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), "n") for level in ("low", "medium", "high", "critical")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+named("cache_key", lambda s, d: events(s, d).select("event_id", codes.cache_key(F.array(F.lit("MUC"), F.lit("FRA"), F.col("event_type")), F.col("user_id"), F.expr("CAST(NULL AS STRING)")).alias("key")))
+
+for _name, _f in {"user_shortlists": userstate.user_shortlists, "shortlist_items": userstate.shortlist_items, "shortlist_notes": userstate.shortlist_notes, "shortlist_stats": userstate.stats, "user_price_alerts": userstate.price_alerts}.items():
+    named(_name, lambda s, d, f=_f: f(user_log(s, d)))
+named("active_price_alerts", lambda s, d: userstate.price_alerts(user_log(s, d), True))
+named("is_shortlisted", lambda s, d: userstate.is_shortlisted(userstate.shortlist_items(user_log(s, d)), 1))
+named("alerts_triggered", lambda s, d: userstate.triggered(userstate.price_alerts(user_log(s, d)), offers(s, d).groupBy("hotel_id").agg(F.min("price").alias("min_price"))))
+
+for _name, _f in {"request_summary": metrics.request_summary, "request_by_endpoint": metrics.request_by_endpoint, "request_levels": metrics.request_levels, "recent_slow_requests": metrics.recent_slow, "search_stats": metrics.search_stats, "latency_percentiles": metrics.percentiles}.items():
+    named(_name, lambda s, d, f=_f: f(request_log(s, d)))
+named("sustained_slow_alerts", lambda s, d: metrics.sustained_slow(request_log(s, d), F.expr("unix_micros(CAST(ts AS TIMESTAMP)) DIV 60")))
+named("cache_hit_rate", lambda s, d: metrics.cache_hit_rate(request_log(s, d), F.col("event_id") % 3 == 0))
+
+MESSAGE = "CASE event_id % 8 WHEN 0 THEN 'Out of memory' WHEN 1 THEN 'ENOENT: file not found' WHEN 2 THEN 'network timeout' WHEN 3 THEN 'invalid input' WHEN 4 THEN 'csv corruption' WHEN 5 THEN 'Cannot read property x' WHEN 6 THEN 'ECONNREFUSED' ELSE 'deadlock' END"
+
+
+@query
+def error_stats(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d).select(F.expr(MESSAGE).alias("message"), (F.col("event_id") % 2 == 0).alias("resolved"))
+    return metrics.error_stats(s, e, 10_000)
+
+
+@query
+def error_classify(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d).select(F.expr(MESSAGE).alias("message")).withColumn("category", metrics.error_category(F.col("message")))
+    return e.groupBy("message", "category", metrics.error_severity(F.col("message"), F.col("category")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+named("error_http_map", lambda s, d: events(s, d).select(F.expr(MESSAGE).alias("message"), F.expr("CASE event_id % 3 WHEN 0 THEN 'ValidationError' WHEN 1 THEN 'TypeError' ELSE 'Error' END").alias("name")).groupBy("message", "name", metrics.error_http(F.col("name"), F.col("message")).alias("status")).agg(F.count("*").alias("n")))
+named("ops_statistics", lambda s, d: metrics.operation_stats(events(s, d).select((F.col("event_id") % 100).alias("records"), (F.col("value") + 1).alias("duration_ms"), (F.col("event_id") % 7 != 0).alias("success"))))
+named("backoff_delays", lambda s, d: s.range(10).select(F.col("id").alias("attempt"), metrics.backoff_ms(F.col("id")).alias("delay_ms")))
+named("pressure_level", lambda s, d: events(s, d).groupBy(metrics.pressure_level(F.col("event_id") % 100, F.col("event_id") * 7 % 100).alias("level")).agg(F.count("*").alias("n")))
+
+
+@query
+def search_strategy(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    score = metrics.complexity((i % 3).cast("int"), i % 2 == 0, i % 5 == 0, i % 7 == 0)
+    pressure = metrics.pressure_level(i % 100, F.lit(0))
+    return events(s, d).groupBy(metrics.search_strategy(i * 5000, pressure, F.lit("medium"), score).alias("strategy")).agg(F.count("*").alias("n"))
+
+
+@query
+def adaptive_config(s: SparkSession, d: str) -> DataFrame:
+    c = metrics.adaptive_config(F.col("event_id") * 2000, F.lit(8), F.col("event_id") % 2 == 0)
+    return events(s, d).select(*[v.alias(k) for k, v in c.items()]).groupBy(*c).agg(F.count("*").alias("n"))
+
+
+named("cache_evictions", lambda s, d: metrics.cache_evictions(events(s, d), F.lit(1_705_000_000_000_000)))
+named("bitpack_roundtrip", lambda s, d: offers(s, d).withColumn("code", codes.pack(F.col("count_adults"), F.col("count_children"), F.col("duration"), F.col("ocean_view"))).groupBy("code", *[v.alias(k) for k, v in codes.unpack(F.col("code")).items()]).agg(F.count("*").alias("n")))
+named("timestamp_day_code", lambda s, d: events(s, d).groupBy(codes.day_code("ts").alias("day_code")).agg(F.count("*").alias("n")))
+named("dictionary_stats", lambda s, d: storage.dictionary_stats(offers(s, d), ("meal_type", "room_type", "outbound_departure_airport")))
+named("block_layout_stats", lambda s, d: storage.block_stats(offers(s, d)))
+named("bloom_sizing", lambda s, d: s.range(1, 7).select(F.pow(F.lit(10.0), F.col("id")).cast("long").alias("keys")).select("keys", *[v.alias(k) if k != "fpp" else F.round(v, 9).alias(k) for k, v in sketches.sizing(F.col("keys").cast("double"), F.lit(0.01)).items()]))
+named("counting_membership", lambda s, d: sketches.counting(user_log(s, d).where("action IN ('add', 'remove')").withColumn("change", F.expr("CASE action WHEN 'add' THEN 1 ELSE -1 END")), "hotel_id", "change"))
+named("bloom_membership", lambda s, d: sketches.membership(hotels(s, d).select(F.col("id").alias("hotel_id")), offers(s, d), "hotel_id", 1 << 20, 7))
