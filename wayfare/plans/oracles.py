@@ -148,7 +148,7 @@ _S = {
     "ingest_stats": "SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE NOT ok) AS errors, count(*) FILTER (WHERE ok) / count(*) AS success_rate FROM (SELECT l_partkey % 17 <> 0 AND l_partkey % 19 <> 0 AND l_partkey % 23 <> 0 AS ok FROM offers)",
     "ingest_hotels": "SELECT s_suppkey + 1 AS id, s_name AS name, CAST(s_suppkey % 7 AS DOUBLE) AS stars FROM supplier WHERE s_suppkey % 17 <> 0 AND s_suppkey % 19 <> 0 AND s_suppkey % 7 <= 5",
     "parse_dates": "SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 3 THEN date_trunc('second', ts) ELSE CAST(CAST(ts AS DATE) AS TIMESTAMP) END AS parsed FROM events",
-    "typed_parse": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_id END AS whole, CASE WHEN event_id % 4 < 2 THEN event_id END AS prefix, CASE WHEN event_id % 4 >= 2 OR event_id = 1 THEN true WHEN event_id = 0 THEN false END AS flag, event_id % 4 = 3 AS strict FROM events",
+    "typed_parse": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_id END AS whole, CASE WHEN event_id % 4 < 2 THEN event_id END AS prefix, CASE WHEN event_id % 4 >= 2 THEN true WHEN event_id = 0 THEN false END AS flag, event_id % 4 = 3 AS strict FROM events",
     "parse_criteria": "SELECT event_id, 'fra|' || event_type AS airports, CAST(CASE WHEN event_id % 3 <> 0 THEN 7 END AS INTEGER) AS duration FROM events",
     "date_utils": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, date_trunc('day', ts) AS day_start, date_trunc('day', ts) + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND AS day_end, ts + INTERVAL 7 DAY AS week_later, ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-02-10' AS in_range FROM events",
     "duration_nights": "SELECT duration AS nights, elapsed, count(*) AS n FROM offers GROUP BY ALL",
