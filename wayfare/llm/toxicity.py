@@ -121,9 +121,11 @@ def fit(bags: list[list[list[str]]], labels: np.ndarray, rounds: int = 400, rate
 def sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: str = "text", label: str = "toxic") -> DataFrame:
     """(t, y): the bounded training sample, without held-out rows. Least hashes first, so it does not depend on partitions."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    d = docs.select(F.col(id_column).alias("_id"), text(column).alias("t")).where(~held_out("_id") & (F.length("t") <= MAX_CHARS))
-    d = d.join(known, "_id").select("t", "y", F.xxhash64("t").alias("h"))
-    return d.where("y = 1").orderBy("h", "t").limit(MAX_EACH).union(d.where("y = 0").orderBy("h", "t").limit(MAX_EACH)).select("t", "y")
+    d = docs.select(F.col(id_column).alias("_id"), text(column).alias("t")).where(~held_out("_id") & (F.length("t") <= MAX_CHARS)).withColumn("h", F.xxhash64("t"))
+    # chosen by narrow rows; only then the texts of the chosen, whose number is bounded, are fetched
+    narrow = d.select("_id", "h").join(known, "_id")
+    chosen = narrow.where("y = 1").orderBy("h", "_id").limit(MAX_EACH).union(narrow.where("y = 0").orderBy("h", "_id").limit(MAX_EACH)).select(F.col("_id").alias("_c"), F.col("h").alias("_h"), "y").distinct()
+    return d.join(F.broadcast(chosen), (F.col("_id") == F.col("_c")) & (F.col("h") == F.col("_h"))).dropDuplicates(["_id", "h"]).orderBy("h", "_id").select("t", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: str = "text", label: str = "toxic") -> Model:
