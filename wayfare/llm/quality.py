@@ -9,6 +9,7 @@ long texts are judged whole, and memory is bounded by the longest text. Extra co
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,8 +37,8 @@ class Rule:
     low: float | None = None
     high: float | None = None
 
-    def passes(self) -> Column:
-        c = F.col(self.feature)
+    def passes(self, ratios: Column) -> Column:
+        c = ratios[self.feature]
         ok = F.lit(True)
         if self.low is not None:
             ok = ok & (c >= F.lit(float(self.low)))
@@ -57,54 +58,67 @@ RULES = (
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
-def features(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs plus one struct column ``_q`` of counts and ratios, computed by built-in functions only."""
-    t = text(column)
-    d = docs.withColumn("_t", t)
-    d = d.withColumn("_w", F.split(F.regexp_replace("_t", f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", ""), f"{SPACE_CLASS}+"))
-    d = d.withColumn("_w", F.when(F.length(F.element_at("_w", 1)) == 0, F.array().cast("array<string>")).otherwise(F.col("_w")))
-    d = d.withColumn(
-        "_w3", F.expr("CASE WHEN size(_w) < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END")
-    )
-    repeat = F.expr(
-        "CASE WHEN size(array_distinct(_w3)) = size(_w3) THEN 0L ELSE "
-        "aggregate(array(sort_array(transform(_w3, (h, i) -> struct(h AS h, i AS i)))), 0L, (z, s) -> z + "
-        "aggregate(sort_array(transform(filter(s, (x, k) -> (k > 0 AND get(s, k - 1).h = x.h) OR (k < size(s) - 1 AND get(s, k + 1).h = x.h)), x -> x.i)), "
-        "named_struct('n', 0L, 'last', -3), (c, i) -> named_struct('n', c.n + least(3, i - c.last), 'last', i), c -> c.n)) END"
-    )
-    is_stop = f"lower(x) IN ({','.join(repr(w) for w in dict.fromkeys(STOP_WORDS))})"
-    d = d.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^ \\t-\\r]")))
-    d = d.withColumn(
-        "_q",
-        F.struct(
-            F.size("_w").cast("long").alias("n_words"),
-            F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace("_t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-            F.size("_lines").cast("long").alias("n_lines"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            repeat.cast("long").alias("n_repeat_words"),
-            F.size(F.expr(f"filter(_w, x -> {is_stop})")).cast("long").alias("n_stop"),
-        ),
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once, however often it is used and wherever Spark moves the expression."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _words(t: Column) -> Column:
+    w = F.split(F.regexp_replace(t, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", ""), f"{SPACE_CLASS}+")
+    return _let(w, lambda w: F.when(F.length(F.get(w, F.lit(0))) == 0, F.array().cast("array<string>")).otherwise(w))
+
+
+def _windows(w: Column) -> Column:
+    """Chained 64-bit hashes of the 3-word windows."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(hashes)
+
+
+def _repeat_words(windows: Column) -> Column:
+    """Words inside windows that occur twice or more.
+
+    Texts without a repeated window end at the distinct count; the others sort their windows once, and the starts of
+    repeated ones cover up to three words each.
+    """
+
+    def covered(s: Column) -> Column:
+        twice = F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | ((k < F.size(s) - 1) & (F.get(s, k + 1)["h"] == x["h"])))
+        starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
+        state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
+        return F.aggregate(starts, state, lambda c, i: F.struct((c["n"] + F.least(F.lit(3), i - c["last"])).alias("n"), i.alias("last")), lambda c: c["n"])
+
+    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(_let(ordered, covered))
+
+
+def _counts(t: Column, w: Column) -> Column:
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
+    return F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
+        _let(_windows(w), _repeat_words).alias("n_repeat_words"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(list(dict.fromkeys(STOP_WORDS))))).cast("long").alias("n_stop"),
     )
-    return d.drop("_t", "_w", "_w3", "_lines")
+
+
+def _verdict(c: Column, rules: tuple[Rule, ...], min_words: int, max_repeat: int) -> Column:
+    n = F.greatest(c["n_words"], F.lit(1)).cast("double")
+    ratios = F.struct(
+        c["n_words"].cast("double").alias("n_words"), (c["word_chars"] / n).alias("mean_word_length"), (c["n_symbols"] / n).alias("symbol_ratio"), (c["n_stop"] / n).alias("stop_ratio"),
+        (c["lines"]["dup"] / F.greatest(c["lines"]["n"], F.lit(1)).cast("double")).alias("dup_line_ratio"), (c["n_repeat_words"] / n).alias("repeat_ratio"),
+    )
+    base = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat * c["n_words"])
+    failed = lambda r: F.array_compact(F.array(*[F.when(~x.passes(r), F.lit(x.name)) for x in rules])) if rules else F.array().cast("array<string>")
+    out = lambda v: F.struct(
+        c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), c["lines"]["n"].alias("n_lines"), c["lines"]["dup"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"),
+        c["n_stop"].alias("n_stop"), v["base"].alias("base_failed"), (~v["base"] & (F.size(v["failed"]) == 0)).alias("kept"), v["failed"].alias("failed_rules"),
+    )
+    return _let(_let(ratios, lambda r: F.struct(base.alias("base"), failed(r).alias("failed"))), out)
 
 
 def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "text", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """docs plus ``_q``: the counts, ``base_failed``, ``kept`` and ``failed_rules``, as one struct."""
-    d = features(docs, column)
-    n = F.greatest(F.col("_q.n_words"), F.lit(1)).cast("double")
-    ratio = {
-        "n_words": F.col("_q.n_words").cast("double"),
-        "mean_word_length": F.col("_q.word_chars") / n,
-        "symbol_ratio": F.col("_q.n_symbols") / n,
-        "stop_ratio": F.col("_q.n_stop") / n,
-        "dup_line_ratio": F.col("_q.n_dup_lines") / F.greatest(F.col("_q.n_lines"), F.lit(1)).cast("double"),
-        "repeat_ratio": F.col("_q.n_repeat_words") / n,
-    }
-    base = (F.col("_q.n_words") < min_words) | (100 * F.col("_q.n_repeat_words") > max_repeat * F.col("_q.n_words"))
-    d = d.withColumn("_r", F.struct(*[c.alias(k) for k, c in ratio.items()]))
-    failed = F.array_compact(F.array(*[F.when(~Rule(r.name, f"_r.{r.feature}", r.low, r.high).passes(), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>")
-    fields = [F.col(f"_q.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop")]
-    d = d.withColumn("_v", F.struct(base.alias("base_failed"), failed.alias("failed_rules")))
-    kept = ~F.col("_v.base_failed") & (F.size("_v.failed_rules") == 0)
-    return d.withColumn("_q", F.struct(*fields, F.col("_v.base_failed").alias("base_failed"), kept.alias("kept"), F.col("_v.failed_rules").alias("failed_rules"))).drop("_r", "_v")
+    """docs plus ``_q``: the counts, ``base_failed``, ``kept`` and ``failed_rules``, as one struct of one projection."""
+    q = _let(text(column), lambda t: _let(_words(t), lambda w: _let(_counts(t, w), lambda c: _verdict(c, rules, min_words, max_repeat))))
+    return docs.withColumn("_q", q)
