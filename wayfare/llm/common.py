@@ -68,3 +68,17 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     atexit.register(_drop_quietly, spark, path)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Range of sample_key().
+KEYS = 1 << 31
+
+
+def sample_key(hashed: str) -> Column:
+    """A key in [0, KEYS) from a column of 64-bit hashes: rows of the least keys are a sample that no partitioning changes."""
+    return F.pmod(F.col(hashed), F.lit(KEYS))
+
+
+def sample_bound(rows: int, most: int) -> int:
+    """Below this key lie about one and a half times ``most`` of ``rows`` rows, so that a top-k over them stays small on any number of tasks."""
+    return KEYS if rows <= most else max(1, int(KEYS * min(1.0, 1.5 * most / rows)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import batches, text
+from wayfare.llm.common import batches, sample_bound, sample_key, text
 
 #: The base patterns and how long a match must be.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -223,7 +223,9 @@ def fit(texts: list[str], rounds: int = 120, rate: float = 0.1, l2: float = 1e-3
 def train(docs: DataFrame, column: str = "text") -> Field:
     """A field from at most MAX_TEXTS texts of at most MAX_CHARS characters that hold a long word with a digit, least hashes first."""
     d = docs.select(text(column).alias("t")).where((F.length("t") <= MAX_CHARS) & F.col("t").rlike(r"[0-9][0-9A-Za-z]{7}|[0-9A-Za-z]{7}[0-9]"))
-    rows = d.select("t", F.xxhash64("t").alias("h")).distinct().orderBy("h", "t").limit(MAX_TEXTS).collect()
+    d = d.withColumn("h", F.xxhash64("t")).withColumn("key", sample_key("h"))
+    bound = sample_bound(d.select("key").count(), MAX_TEXTS)
+    rows = d.where(F.col("key") < bound).select("key", "h", "t").distinct().orderBy("key", "h", "t").limit(MAX_TEXTS).collect()
     return fit([r.t for r in rows])
 
 

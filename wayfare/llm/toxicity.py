@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import batches, text
+from wayfare.llm.common import batches, sample_bound, sample_key, text
 
 #: Sampled rows of each label, the longest text in the sample, features kept after screening.
 MAX_EACH, MAX_CHARS, MAX_FEATURES = 2000, 40_000, 4000
@@ -123,8 +123,10 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     d = docs.select(F.col(id_column).alias("_id"), text(column).alias("t")).where(~held_out("_id") & (F.length("t") <= MAX_CHARS)).withColumn("h", F.xxhash64("t"))
     # chosen by narrow rows; only then the texts of the chosen, whose number is bounded, are fetched
-    narrow = d.select("_id", "h").join(known, "_id")
-    chosen = narrow.where("y = 1").orderBy("h", "_id").limit(MAX_EACH).union(narrow.where("y = 0").orderBy("h", "_id").limit(MAX_EACH)).select(F.col("_id").alias("_c"), F.col("h").alias("_h"), "y").distinct()
+    narrow = d.select("_id", "h", sample_key("h").alias("key")).join(known, "_id")
+    rows = {r.y: r["count"] for r in narrow.groupBy("y").count().where("y IN (0, 1)").collect()}
+    least = lambda y: narrow.where((F.col("y") == y) & (F.col("key") < sample_bound(rows.get(y, 0), MAX_EACH))).orderBy("key", "h", "_id").limit(MAX_EACH)
+    chosen = least(1).union(least(0)).select(F.col("_id").alias("_c"), F.col("h").alias("_h"), "y").distinct()
     return d.join(F.broadcast(chosen), (F.col("_id") == F.col("_c")) & (F.col("h") == F.col("_h"))).dropDuplicates(["_id", "h"]).orderBy("h", "_id").select("t", "y")
 
 
