@@ -168,25 +168,25 @@ def extract(page: str, template: list[tuple[int, list[str]]] | None = None) -> l
             once[sign] = once.get(sign, 0) + 1
     frame = {t for t in frame if once.get(t) == 1}
 
-    stack: list[tuple[str, bool, bool]] = []  # name, other part, article
-    slot = 0
+    stack: list[tuple[str, bool, bool, int]] = []  # name, other part, article, number of the element
+    slot = opened = 0
     blocks: list[tuple[str, bool, tuple, int]] = []
     buffer: list[str] = []
-    # text runs by slot and element, for pages without an article
+
     def flush() -> None:
+        """Ends a block; its elements and slot matter where no article is marked."""
         if buffer:
             t = flat("".join(buffer))
             buffer.clear()
             if t:
-                inside = any(a for _, _, a in stack)
-                path = tuple(n for n, _, _ in stack if n not in INLINE and n not in ("p", "li", "ul", "ol") and n not in HEADINGS)
-                blocks.append((t, inside, path, slot))
+                path = tuple(k for n, _, _, k in stack if n not in INLINE and n not in ("p", "li", "ul", "ol") and n not in HEADINGS)
+                blocks.append((t, any(x[2] for x in stack), path, slot))
 
     for kind, name, sign, run in stream:
         if kind == "text":
-            other = any(o for _, o, _ in stack)
-            inside = any(a for _, _, a in stack)
-            heading = inside and stack and any(n in HEADINGS for n, _, _ in stack) and all(n == "header" for n, o, _ in stack if o)
+            other = any(x[1] for x in stack)
+            inside = any(x[2] for x in stack)
+            heading = inside and any(x[0] in HEADINGS for x in stack) and all(x[0] == "header" for x in stack if x[1])
             if other and not heading:
                 continue
             if not inside and text_token(run) in fixed:
@@ -210,7 +210,8 @@ def extract(page: str, template: list[tuple[int, list[str]]] | None = None) -> l
                             break
                         if stack[k][0] not in INLINE:
                             break
-                stack.append((name, _mark(name, run), name in ARTICLE or "main" in run.split() and name in ("div", "section")))
+                opened += 1
+                stack.append((name, _mark(name, run), name in ARTICLE or "main" in run.split() and name in ("div", "section"), opened))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
