@@ -55,7 +55,7 @@ def schedule(share: dict, period: int) -> dict[object, list[int]]:
     waiting = [(0, i, 1) for i in range(len(names))]
     ready: list[tuple[int, int, int]] = []
     heapq.heapify(waiting)
-    for t in range(period):
+    for t in range(period if names else 0):
         while waiting and waiting[0][0] <= t:
             _, i, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-j * period // share[names[i]]), i, j))
