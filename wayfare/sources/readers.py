@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.functions.binding import let
 from wayfare.functions.parsing import parse_boolean, parse_date, parse_integer, parse_number, parse_prefix_integer, strict_true, unquote
 
 #: Column orders and names of the file formats.
@@ -14,6 +15,10 @@ NAMED = ("hotelid", "price", "countadults", "countchildren", "departuredate", "r
 NAMED_OPTIONAL = ("outboundarrivaldatetime", "inboundarrivaldatetime")
 POSITIONS_15 = ("hotelid", "departuredate", "returndate", "countadults", "countchildren", "price", "inbounddepartureairport", "inboundarrivalairport", "inboundarrivaldatetime", "outbounddepartureairport", "outboundarrivalairport", "outboundarrivaldatetime", "mealtype", "oceanview", "roomtype")
 POSITIONS_14 = ("hotelid", "departuredate", "returndate", "countadults", "countchildren", "price", "outbounddepartureairport", "inbounddepartureairport", "outboundarrivalairport", "inboundarrivalairport", "mealtype", "roomtype", "duration", "oceanview")
+OFFERS = [
+    "hotel_id", "price", "count_adults", "count_children", "outbound_departure", "inbound_departure", "outbound_arrival", "inbound_arrival", "outbound_departure_airport",
+    "inbound_departure_airport", "outbound_arrival_airport", "inbound_arrival_airport", "meal_type", "ocean_view", "room_type", "duration",
+]
 HOTELS = ("hotelid", "hotelname", "hotelstars")
 
 
@@ -25,13 +30,14 @@ class Loaded(NamedTuple):
     stats: DataFrame
 
 
-def _split(d: DataFrame, columns: dict) -> Loaded:
-    d = d.select(*[c.alias(k) for k, c in columns.items()], *[F.col(c).alias(f"raw_{c}") for c in d.columns])
-    bad = F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(f"{k} is missing or malformed")) for k in columns]))
-    d = d.withColumn("errors", bad)
-    ok = F.size("errors") == 0
+def _split(d: DataFrame, columns: Column, names: list[str]) -> Loaded:
+    """columns: one struct of the typed columns; it stands in a generator, which filters do not cross, so a row is parsed once."""
+    errors = lambda p: F.array_compact(F.array(*[F.when(p[k].isNull(), F.lit(f"{k} is missing or malformed")) for k in names]))
+    d = d.select(F.explode(F.array(let(columns, lambda p: F.struct(p.alias("p"), errors(p).alias("errors"))))).alias("row"), *[F.col(c).alias(f"raw_{c}") for c in d.columns])
+    ok = F.size("row.errors") == 0
     stats = d.agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("errors")).withColumn("success_rate", F.when(F.col("total") > 0, F.col("valid") / F.col("total")).otherwise(0.0))
-    return Loaded(d.where(ok).select(*columns), d.where(~ok).select(*[c for c in d.columns if c.startswith("raw_")], "errors"), stats)
+    raw = [c for c in d.columns if c.startswith("raw_")]
+    return Loaded(d.where(ok).select("row.p").select("p.*"), d.where(~ok).select(*raw, F.col("row.errors").alias("errors")), stats)
 
 
 def _text(name: str):
@@ -45,25 +51,31 @@ def parse_offers(d: DataFrame, booleans: str = "strict", integers: str = "strict
     booleans: "strict" takes only ``true`` as true, "lax" knows yes, no, 1 and 0. integers: "prefix" takes a leading number.
     """
     whole = parse_integer if integers == "strict" else parse_prefix_integer
-    out, back = parse_date(F.col("departuredate")), parse_date(F.col("returndate"))
     two = F.expr("INTERVAL 2 HOURS")
     arrive = lambda c, leave: F.coalesce(parse_date(F.col(c)), leave + two) if c in d.columns else leave + two
     ocean = F.lit(False) if "oceanview" not in d.columns else strict_true(F.col("oceanview")) if booleans == "strict" else F.coalesce(parse_boolean(F.col("oceanview")), F.lit(False))
-    nights = F.greatest(F.lit(0), F.datediff(back, out))
     number = lambda c: F.when(c >= 0, c)
-    return _split(d, {
-        "hotel_id": number(whole(F.col("hotelid"))), "price": number(parse_number(F.col("price"))), "count_adults": number(whole(F.col("countadults"))).cast("int"), "count_children": number(whole(F.col("countchildren"))).cast("int"),
-        "outbound_departure": out, "inbound_departure": back, "outbound_arrival": arrive("outboundarrivaldatetime", out), "inbound_arrival": arrive("inboundarrivaldatetime", back),
-        "outbound_departure_airport": _text("outbounddepartureairport"), "inbound_departure_airport": _text("inbounddepartureairport"), "outbound_arrival_airport": _text("outboundarrivalairport"), "inbound_arrival_airport": _text("inboundarrivalairport"),
-        "meal_type": _text("mealtype"), "ocean_view": ocean, "room_type": _text("roomtype"),
-        "duration": (F.coalesce(parse_integer(F.col("duration")).cast("int"), nights) if "duration" in d.columns else nights),
-    })
+
+    def columns(dates: Column) -> Column:
+        out, back = dates["out"], dates["back"]
+        nights = F.greatest(F.lit(0), F.datediff(back, out))
+        parts = {
+            "hotel_id": number(whole(F.col("hotelid"))), "price": number(parse_number(F.col("price"))), "count_adults": number(whole(F.col("countadults"))).cast("int"), "count_children": number(whole(F.col("countchildren"))).cast("int"),
+            "outbound_departure": out, "inbound_departure": back, "outbound_arrival": arrive("outboundarrivaldatetime", out), "inbound_arrival": arrive("inboundarrivaldatetime", back),
+            "outbound_departure_airport": _text("outbounddepartureairport"), "inbound_departure_airport": _text("inbounddepartureairport"), "outbound_arrival_airport": _text("outboundarrivalairport"), "inbound_arrival_airport": _text("inboundarrivalairport"),
+            "meal_type": _text("mealtype"), "ocean_view": ocean, "room_type": _text("roomtype"),
+            "duration": F.coalesce(parse_integer(F.col("duration")).cast("int"), nights) if "duration" in d.columns else nights,
+        }
+        return F.struct(*[c.alias(k) for k, c in parts.items()])
+
+    dates = F.struct(parse_date(F.col("departuredate")).alias("out"), parse_date(F.col("returndate")).alias("back"))
+    return _split(d, let(dates, columns), OFFERS)
 
 
 def parse_hotels(d: DataFrame) -> Loaded:
     stars = parse_number(unquote(F.col("hotelstars")))
     i = parse_integer(unquote(F.col("hotelid")))
-    return _split(d, {"id": F.when(i > 0, i), "name": _text("hotelname"), "stars": F.when(stars.between(0, 5), stars)})
+    return _split(d, F.struct(F.when(i > 0, i).alias("id"), _text("hotelname").alias("name"), F.when(stars.between(0, 5), stars).alias("stars")), ["id", "name", "stars"])
 
 
 def _csv(spark: SparkSession, path: str, sep: str, names: tuple[str, ...] | None) -> DataFrame:
