@@ -296,14 +296,15 @@ def test_quality(spark, texts):
     assert all(got[i].kept or got[i].base_failed for i, q in labels.items() if q == 1 and i in got)
 
 
-def test_quality_against_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    o = con.execute(queries.ORACLE_SQL["op8_quality_rules"])
+    o = con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in o.description]
-    assert sorted(map(tuple, queries.op8_quality_rules(spark, SF).select(*names).collect())) == sorted(o.fetchall())
+    assert sorted(map(tuple, queries.QUERIES[name](spark, SF).select(*names).collect())) == sorted(o.fetchall())
 
 
 def _dice(a, b):

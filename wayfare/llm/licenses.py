@@ -93,6 +93,12 @@ def needles(grams: list[str], threshold: float) -> set[str]:
     return out
 
 
+def limits(grams: dict[str, list[str]], threshold: float) -> tuple[int, int]:
+    """(least bigrams, most characters) of a segment that can match any template."""
+    span = [bounds(len(v), threshold) for v in grams.values()]
+    return min(s[0] for s in span), max(len(g) for v in grams.values() for g in v) * (max(s[1] for s in span) + 2) * 4
+
+
 def _score(grams: Column, templates: dict[str, list[str]], threshold: float) -> Column:
     """The best (score, name) of a segment's distinct bigrams, or null."""
     n = F.size(grams)
@@ -108,8 +114,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     """(id, n_matches, best_license, best_score, licenses): segments that match, the best and all names of each row."""
     grams = {k: bigrams(normalise(v)) for k, v in (templates or TEMPLATES).items()}
     grams = {k: v for k, v in grams.items() if v}
-    span = [bounds(len(v), threshold) for v in grams.values()]
-    least, most = min(s[0] for s in span), max(s[1] for s in span)
+    least, longest = limits(grams, threshold)
     d = docs.select(F.col(id_column).alias("id"), F.lower(text(column)).alias("t"))
     # a text without any word that a match must have is done; the comparison below is for the rest
     between = r"[^\p{L}\p{N}]+"
@@ -120,7 +125,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     d = d.withColumn("t", F.regexp_replace("t", r"[^\p{L}\p{N}.!?\n]+", " "))
     flat = lambda x: F.trim(F.regexp_replace(x, r"[ .!?\n]+", " "))
     # a paragraph or whole text counts only if it is more than one line or sentence, and can be within the bounds
-    longest = max(len(g) for v in grams.values() for g in v) * (most + 2) * 4
     lines = F.split("t", r"\n+| *(?<=[.!?]) +")
     paragraphs = F.filter(F.split("t", r"\n *\n"), lambda x: (F.length(x) <= longest) & x.rlike(r"\n|[.!?] "))
     whole = F.when((F.length("t") <= longest) & F.col("t").rlike(r"\n *\n"), F.array("t")).otherwise(F.array().cast("array<string>"))

@@ -73,7 +73,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
+_GRAMS = {k: licenses.bigrams(licenses.normalise(v)) for k, v in sorted(licenses.TEMPLATES.items())}
+_LEAST, _LONGEST = licenses.limits(_GRAMS, licenses.THRESHOLD)
+_TEMPLATES = ",\n  ".join("('{}', {}, {}, [{}])".format(k, *licenses.bounds(len(v), licenses.THRESHOLD), ", ".join(f"'{g}'" for g in v)) for k, v in _GRAMS.items())
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_license_scan": rf"""
+WITH templates(name, lo, hi, grams) AS (VALUES
+  {_TEMPLATES}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}.!?\n]+', ' ', 'g') AS t FROM documents),
+parts AS (
+  SELECT r, unnest(regexp_split_to_array(t, '\n+')) AS x FROM d
+  UNION ALL SELECT r, unnest(regexp_split_to_array(regexp_replace(t, '([.!?]) +', '\1' || chr(10), 'g'), '\n+')) FROM d
+  UNION ALL SELECT r, x FROM (SELECT r, unnest(regexp_split_to_array(t, '\n *\n')) AS x FROM d) WHERE regexp_matches(x, '\n|[.!?] ')
+  UNION ALL SELECT r, t FROM d WHERE regexp_matches(t, '\n *\n')),
+segments AS (SELECT DISTINCT r, trim(regexp_replace(x, '[ .!?\n]+', ' ', 'g')) AS x FROM parts WHERE length(x) > 3 AND length(x) <= {_LONGEST}),
+words AS (SELECT r, x, string_split(x, ' ') AS w FROM segments WHERE length(x) - length(replace(x, ' ', '')) >= {_LEAST}),
+pairs AS (SELECT r, x, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words),
+scored AS (SELECT r, x, name, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM pairs JOIN templates ON len(g) BETWEEN lo AND hi),
+found AS (SELECT r, x, min({{'worse': -CAST(dice AS DOUBLE), 'name': name}}) AS best FROM scored WHERE dice >= {licenses.THRESHOLD} GROUP BY r, x),
+byrow AS (SELECT r, count(*) AS n, min(best) AS best, string_agg(DISTINCT best.name, ',' ORDER BY best.name) AS names FROM found GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(best.name, '') AS best_license, round(coalesce(-best.worse, 0.0), 6) AS best_score, coalesce(names, '') AS licenses
+FROM d LEFT JOIN byrow USING (r)""",
     "op8_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 g AS (SELECT r, i, hash(w[i], w[i + 1], w[i + 2]) AS h FROM d, unnest(range(1, greatest(1, len(w) - 1))) AS u(i)),
