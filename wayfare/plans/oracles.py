@@ -108,6 +108,13 @@ _S = {
     "best_offers_rank": _best(_STANDARD),
     "best_offers_fallback": _best(_STANDARD, "LEFT JOIN", _SHOWN.replace("name AS", "coalesce(name, 'Hotel ' || hotel_id) AS").replace("stars AS", "coalesce(stars, 4.0) AS")),
     "best_offers_chunks": f"SELECT hotel_id, min_price, CAST(floor((row_number() OVER (ORDER BY min_price, hotel_id) - 1) / 10) AS INTEGER) AS chunk FROM ({_best(_STANDARD)})",
+    "best_offers_api_json": "SELECT hotel_id, CAST(to_json({'hotel': {'id': hotel_id, 'name': hotel_name, 'stars': hotel_stars}, 'minPrice': min_price, 'departureDate': strftime(departure_date, '%Y-%m-%d'), "
+    "'returnDate': strftime(return_date, '%Y-%m-%d'), 'roomType': room_type, 'mealType': meal_type, 'countAdults': count_adults, 'countChildren': count_children, 'duration': duration, "
+    f"'countAvailableOffers': available_offers}}) AS VARCHAR) AS body FROM ({_best(_STANDARD)})",
+    "hotel_offers_api_json": "SELECT hotel_id, price, CAST(to_json({'offer': {'price': price, 'countAdults': count_adults, 'countChildren': count_children, 'mealType': meal_type, 'roomType': room_type, 'oceanView': ocean_view}, "
+    "'outboundDepartureAirport': outbound_departure_airport, 'inboundDepartureAirport': inbound_departure_airport, "
+    + ", ".join(f"'{k}': strftime({c}, '%Y-%m-%dT%H:%M:%S.%gZ')" for k, c in (("outbundDepartureDatetime", "outbound_departure"), ("outboundArrivalDatetime", "outbound_departure"), ("inboundDepartureDatetime", "inbound_departure"), ("inboundArrivalDatetime", "inbound_departure")))
+    + f"}}) AS VARCHAR) AS body FROM offers WHERE hotel_id = 1 AND outbound_departure_airport IN ('FRA', 'MUC') AND {_DATED} ORDER BY {_ORDER} LIMIT 1000",
     "hotel_offers": f"SELECT {_KEYS}, outbound_departure, inbound_departure FROM offers WHERE hotel_id = 1 AND outbound_departure_airport IN ('FRA', 'MUC') AND {_DATED} ORDER BY {_ORDER} LIMIT 1000",
     "first_n_matches": f"SELECT {_KEYS} FROM offers WHERE {_STANDARD} ORDER BY {_ORDER} LIMIT 20",
     "merge_results": "SELECT DISTINCT hotel_id, min_price, departure_date, room_type, meal_type FROM (SELECT *, row_number() OVER (PARTITION BY hotel_id, min_price, departure_date ORDER BY room_type, meal_type) AS k FROM ("
