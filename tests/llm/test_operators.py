@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -50,6 +51,22 @@ def test_html_parts():
     assert html.extract("") == [] and html.extract("<p>cut <b") == ["cut"]
 
 
+def test_html_hints():
+    page = (
+        "<body class='home has-sidebar sidebar-right'><article><h2 id='related-work'>Related work</h2><p class='overflow-hidden' title=don't>It's one.</p>"
+        "<p hidden>no</p><p style='display: none'>no</p><p data-x='a>b'>Two.</p></article></body>"
+    )
+    assert html.extract(page) == ["Related work", "It's one.", "Two."]
+
+
+@pytest.mark.parametrize("part", ["<a", '<a "', '<a x="', "<!-- a ", "x <b y ", "<p class='"])
+def test_html_endless(part):
+    """Markup that never ends takes time in proportion."""
+    began = time.perf_counter()
+    assert html.extract("<p>ok</p>" + part * 20_000)[0].startswith("ok")
+    assert time.perf_counter() - began < 5
+
+
 def test_html_template(spark):
     frame = "<body><div><p>{}</p><p>Read our newsletter today</p></div></body>"
     d = spark.createDataFrame([(i, "http://h.example/x", frame.format(f"Content number {i * 7919} of many")) for i in range(6)], "page_id int, url string, html string")

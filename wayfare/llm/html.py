@@ -39,17 +39,20 @@ NAMES = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 ARTICLE = frozenset("article main".split())
+WHOLE = frozenset("html body main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Quotes count after an equals sign only; nothing is tried twice, so markup that never ends costs one look.
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
     """(kind, name, signature, text): kinds are open, close and text; text of scripts and the like is left out."""
     at, n = 0, len(page)
+    last = page.rfind(">") + 1
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last) if at < last else None
         end = m.start() if m else n
         if end > at:
             run = page[at:end]
@@ -58,7 +61,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
                 run = run[: cut.start()]
             if run.strip():
                 yield "text", "", "", run
-        if not m:
+        if not m or m.group().startswith("<!--") and not m.group().endswith("-->"):
             return
         at = m.end()
         name = (m.group(2) or "").lower()
@@ -69,7 +72,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
             continue
         raw = m.group(3)
         named = {k.lower(): (v or "").strip("\"'").lower() for k, v in ATTRIBUTE.findall(raw)} if raw.strip(" /") else {}
-        words = " ".join(x for k in ("class", "id", "role", "aria-hidden", "hidden") if (x := named.get(k, "hidden" if k == "hidden" and k in named else "")))
+        words = " ".join(x for k in ("class", "id", "role") if (x := named.get(k)))
+        if "hidden" in named or "display:none" in named.get("style", "").replace(" ", ""):
+            words = f"{words} hidden".lstrip()
         yield "open", name, f"<{name} {words}" if words else f"<{name}", words
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -89,13 +94,17 @@ def flat(run: str) -> str:
 
 
 def _mark(name: str, words: str) -> bool:
-    """Whether an element is a part of the page other than its article."""
+    """Whether an element is a part of the page other than its article.
+
+    Classes of the whole page and of headings, whose ids repeat their text, say nothing of it, nor do ``has-sidebar`` and the like.
+    """
     if name in PARTS or name == "header":
         return True
-    if not words:
+    if not words or name in WHOLE or name in HEADINGS:
         return False
-    found = set(re.split(r"[^a-z0-9]+", words))
-    return bool(found & NAMES or found & ROLES or "hidden" in found)
+    each = [w for w in words.split() if not w.startswith(("has-", "with-", "no-"))]
+    found = set(re.split(r"[^a-z0-9]+", " ".join(each)))
+    return bool(found & NAMES or found & ROLES or "hidden" in each)
 
 
 def text_token(run: str) -> str:
