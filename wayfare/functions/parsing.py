@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wayfare.functions.binding import let
-
 #: pattern and format of the dates that are understood; patterns keep lenient formats apart.
 DATE_FORMATS = (
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
@@ -23,17 +21,15 @@ DATE_FORMATS = (
 def parse_date(s: Column) -> Column:
     """A timestamp in UTC without zone; ISO forms with an offset are moved to UTC."""
 
-    def parsed(s: Column) -> Column:
-        out = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(s).cast("timestamp_ntz"))
-        for pattern, form in DATE_FORMATS:
-            out = out.when(s.rlike(pattern), F.try_to_timestamp(s, F.lit(form)).cast("timestamp_ntz"))
-        return out
-
-    return let(F.trim(s), parsed)
+    s = F.trim(s)
+    out = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(s).cast("timestamp_ntz"))
+    for pattern, form in DATE_FORMATS:
+        out = out.when(s.rlike(pattern), F.try_to_timestamp(s, F.lit(form)).cast("timestamp_ntz"))
+    return out
 
 
 def unquote(s: Column) -> Column:
-    return F.regexp_replace(s, '^"|"$', "")
+    return F.when(F.contains(s, F.lit('"')), F.regexp_replace(s, '^"|"$', "")).otherwise(s)
 
 
 def parse_number(s: Column) -> Column:

@@ -11,7 +11,8 @@ PRESETS = {
     "large": {"spark.sql.files.maxPartitionBytes": "128m", "spark.sql.shuffle.partitions": "2000"},
     "huge": {"spark.sql.files.maxPartitionBytes": "256m", "spark.sql.shuffle.partitions": "20000"},
 }
-BASE = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+#: Beyond 8,000 bytes the JVM does not compile a method; such stages run as smaller methods instead.
+BASE = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
 
 
 def preset_for(size_bytes: int) -> str:

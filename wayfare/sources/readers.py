@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.functions.binding import let
 from wayfare.functions.parsing import parse_boolean, parse_date, parse_integer, parse_number, parse_prefix_integer, strict_true, unquote
 
 #: Column orders and names of the file formats.
@@ -30,19 +32,30 @@ class Loaded(NamedTuple):
     stats: DataFrame
 
 
-def _split(d: DataFrame, columns: Column, names: list[str]) -> Loaded:
-    """columns: one struct of the typed columns; it stands in a generator, which filters do not cross, so a row is parsed once."""
-    errors = lambda p: F.array_compact(F.array(*[F.when(p[k].isNull(), F.lit(f"{k} is missing or malformed")) for k in names]))
-    d = d.select(F.explode(F.array(let(columns, lambda p: F.struct(p.alias("p"), errors(p).alias("errors"))))).alias("row"), *[F.col(c).alias(f"raw_{c}") for c in d.columns])
-    ok = F.size("row.errors") == 0
-    stats = d.agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("errors")).withColumn("success_rate", F.when(F.col("total") > 0, F.col("valid") / F.col("total")).otherwise(0.0))
+def _split(d: DataFrame, parts: dict[str, Column], bad: dict[str, Callable[[Column], Column]], first: dict[str, Column] | None = None) -> Loaded:
+    """parts: the typed columns; bad: which values of a column, beside nulls, reject a row; first: columns that several parts use.
+
+    Everything is parsed in generated code; the row then passes a generator, which filters do not cross, so it is parsed once.
+    Bounds and empty texts are judged behind it, which keeps the parsing methods small enough for the compiler.
+    """
+    raw = [F.col(c).alias(f"raw_{c}") for c in d.columns]
+    if first:
+        d = d.withColumns(first)
+    d = d.select(*raw, *[c.alias(k) for k, c in parts.items()])
     raw = [c for c in d.columns if c.startswith("raw_")]
-    return Loaded(d.where(ok).select("row.p").select("p.*"), d.where(~ok).select(*raw, F.col("row.errors").alias("errors")), stats)
+    d = d.select(F.explode(F.array(F.struct(*parts))).alias("p"), *raw)
+    wrong = {k: F.col("p")[k].isNull() | test(F.col("p")[k]) for k, test in bad.items()}
+    ok = ~reduce(or_, wrong.values())
+    stats = d.agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("errors")).withColumn("success_rate", F.when(F.col("total") > 0, F.col("valid") / F.col("total")).otherwise(0.0))
+    errors = F.array_compact(F.array(*[F.when(c, F.lit(f"{k} is missing or malformed")) for k, c in wrong.items()]))
+    return Loaded(d.where(ok).select("p.*"), d.where(~ok).select(*raw, errors.alias("errors")), stats)
 
 
-def _text(name: str):
-    s = F.trim(unquote(F.col(name)))
-    return F.when(F.length(s) > 0, s)
+def _text(name: str) -> Column:
+    return F.trim(unquote(F.col(name)))
+
+
+_EMPTY, _NEGATIVE, _ANY = (lambda c: c == ""), (lambda c: c < 0), (lambda c: F.lit(False))
 
 
 def parse_offers(d: DataFrame, booleans: str = "strict", integers: str = "strict") -> Loaded:
@@ -54,28 +67,24 @@ def parse_offers(d: DataFrame, booleans: str = "strict", integers: str = "strict
     two = F.expr("INTERVAL 2 HOURS")
     arrive = lambda c, leave: F.coalesce(parse_date(F.col(c)), leave + two) if c in d.columns else leave + two
     ocean = F.lit(False) if "oceanview" not in d.columns else strict_true(F.col("oceanview")) if booleans == "strict" else F.coalesce(parse_boolean(F.col("oceanview")), F.lit(False))
-    number = lambda c: F.when(c >= 0, c)
-
-    def columns(dates: Column) -> Column:
-        out, back = dates["out"], dates["back"]
-        nights = F.greatest(F.lit(0), F.datediff(back, out))
-        parts = {
-            "hotel_id": number(whole(F.col("hotelid"))), "price": number(parse_number(F.col("price"))), "count_adults": number(whole(F.col("countadults"))).cast("int"), "count_children": number(whole(F.col("countchildren"))).cast("int"),
-            "outbound_departure": out, "inbound_departure": back, "outbound_arrival": arrive("outboundarrivaldatetime", out), "inbound_arrival": arrive("inboundarrivaldatetime", back),
-            "outbound_departure_airport": _text("outbounddepartureairport"), "inbound_departure_airport": _text("inbounddepartureairport"), "outbound_arrival_airport": _text("outboundarrivalairport"), "inbound_arrival_airport": _text("inboundarrivalairport"),
-            "meal_type": _text("mealtype"), "ocean_view": ocean, "room_type": _text("roomtype"),
-            "duration": F.coalesce(parse_integer(F.col("duration")).cast("int"), nights) if "duration" in d.columns else nights,
-        }
-        return F.struct(*[c.alias(k) for k, c in parts.items()])
 
-    dates = F.struct(parse_date(F.col("departuredate")).alias("out"), parse_date(F.col("returndate")).alias("back"))
-    return _split(d, let(dates, columns), OFFERS)
+    out, back = F.col("_out"), F.col("_back")
+    nights = F.greatest(F.lit(0), F.datediff(back, out))
+    parts = {
+        "hotel_id": whole(F.col("hotelid")), "price": parse_number(F.col("price")), "count_adults": whole(F.col("countadults")).cast("int"), "count_children": whole(F.col("countchildren")).cast("int"),
+        "outbound_departure": out, "inbound_departure": back, "outbound_arrival": arrive("outboundarrivaldatetime", out), "inbound_arrival": arrive("inboundarrivaldatetime", back),
+        "outbound_departure_airport": _text("outbounddepartureairport"), "inbound_departure_airport": _text("inbounddepartureairport"), "outbound_arrival_airport": _text("outboundarrivalairport"), "inbound_arrival_airport": _text("inboundarrivalairport"),
+        "meal_type": _text("mealtype"), "ocean_view": ocean, "room_type": _text("roomtype"),
+        "duration": F.coalesce(parse_integer(F.col("duration")).cast("int"), nights) if "duration" in d.columns else nights,
+    }
+    bad = {k: _NEGATIVE if k in ("hotel_id", "price", "count_adults", "count_children") else _EMPTY if k.endswith(("airport", "type")) else _ANY for k in OFFERS}
+    return _split(d, parts, bad, {"_out": parse_date(F.col("departuredate")), "_back": parse_date(F.col("returndate"))})
 
 
 def parse_hotels(d: DataFrame) -> Loaded:
     stars = parse_number(unquote(F.col("hotelstars")))
     i = parse_integer(unquote(F.col("hotelid")))
-    return _split(d, F.struct(F.when(i > 0, i).alias("id"), _text("hotelname").alias("name"), F.when(stars.between(0, 5), stars).alias("stars")), ["id", "name", "stars"])
+    return _split(d, {"id": i, "name": _text("hotelname"), "stars": stars}, {"id": lambda c: c <= 0, "name": _EMPTY, "stars": lambda c: ~c.between(0, 5)})
 
 
 def _csv(spark: SparkSession, path: str, sep: str, names: tuple[str, ...] | None) -> DataFrame:
