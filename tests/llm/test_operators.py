@@ -201,6 +201,22 @@ def test_toxicity_locates():
     assert p > 0.7 and len(spans) == 1 and "zzzbad" in texts[0][spans[0][0] : spans[0][1]] and score(texts[1])[0] < 0.3
 
 
+def test_toxicity_length(spark):
+    """Length alone makes no text toxic; long labelled texts are drawn for training."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    score = toxicity.train(docs, labels).scorer()
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").where(toxicity.held_out() & (F.length("text") > 1000)).orderBy("doc_id").collect()]
+    for n in (1200, 3000, 6000):
+        t, k = "", 0
+        while len(toxicity.SENTENCE.findall(t)) < n:
+            t, k = t + clean[k] + "\n", k + 1
+        assert score(t)[0] < 0.7
+    assert score("Qqqqq wwwww. " * 20_000)[0] < 0.7
+    long = spark.createDataFrame([(i, "some words here. " * 4000, i % 2) for i in range(12)], "doc_id long, text string, toxic int")
+    assert {r.y for r in toxicity.sample(long, long.select("doc_id", "toxic")).collect()} == {0, 1}
+
+
 def _repeats(texts, n):
     of = xxhash.xxh3_128_digest
     c = collections.Counter(of(t[i : i + n]) for t in texts for i in range(len(t) - n + 1))
