@@ -73,6 +73,29 @@ def test_html_template(spark):
     assert all(r.text == f"Content number {r.id * 7919} of many" for r in html.main_text(d).collect())
 
 
+def test_html_template_in_articles(spark):
+    """The template's text goes inside articles too, also that of a layout of few pages; runs inside content and repeated articles stay."""
+    say = lambda i: f"Story {i * 7919} has a text of its own that goes on for a while, <b>as usual</b>, until it ends."
+    usual = "<body><article><h1>T{0}</h1><p>{1}</p><div class='x1'>Tell your friends</div><p>Read more</p></article></body>"
+    rare = "<body><article class='long'><h1>T{0}</h1><p>{1}</p><div class='y1'>Be the first to reply</div></article></body>"
+    rows = [(i, "http://h.example/x", (usual if i < 16 else rare).format(i, say(i))) for i in range(20)]
+    rows += [(100 + i, "http://c.example/x", "<body><article><p>The same text.</p><p>On each page.</p></article></body>") for i in range(4)]
+    got = {r.id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == f"T{i}\n\n" + re.sub("</?b>", "", say(i))
+    assert all(got[100 + i] == "The same text.\n\nOn each page." for i in range(4))
+
+
+def test_html_teasers():
+    """Articles that are but cards beside the main text are no main text; an article with the page's heading is."""
+    long = "<p>A long text of the page that goes on and on.</p>" * 6
+    cards = "".join(f"<article><h3>Card {i}</h3><p>Short.</p></article>" for i in range(3))
+    want = ["A long text of the page that goes on and on."] * 6
+    assert html.extract(f"<body><div class='x'>{long}</div><div class='y'>{cards}</div></body>") == want
+    assert html.extract(f"<body><main>{long}{cards}</main></body>") == want
+    assert html.extract(f"<body><article><h1>News</h1><p>Short.</p></article><div class='x'>{long}</div></body>") == ["News", "Short."]
+
+
 def test_bpe(spark, texts):
     import public_tokenizers as P
     import tiktoken

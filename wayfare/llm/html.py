@@ -5,7 +5,14 @@ count on every page, form an equivalence class: the template's own tokens occur
 compared by a sum of page hashes times counts, so classes are found by one pre-aggregated shuffle of (host, token).
 Classes of enough tokens and pages whose tokens keep one order are valid; nested by where they lie between the tokens of
 the class around them they make the host's template. What lies between template tokens are its slots; a slot's place in
-the template (navigation, advert, article ...) decides whether its text is the article's.
+the template (navigation, advert, article ...) decides whether its text is the article's. Layouts of a few pages have
+classes too, if tags are among their tokens (``MINORITY``).
+
+Blocks of template text are dropped everywhere, inside articles only those of a class with tags (content may recur, but not
+as often as a tag on each page), and unless they make up half of an article: then the article itself is repeated on other
+pages and stays whole. An article element is a hint that counts its text ``HINT`` times:
+where articles without the page's h1 hold less than that of the text around them, they are teasers and the slots around
+them are the main text.
 
 Defined cases: a null page is empty, its text too; pages of hosts with fewer than ``MIN_PAGES`` pages, or without a host,
 have no template and go by the open elements alone; repeated pages count as pages of their own; broken and cut-off markup
@@ -26,6 +33,8 @@ from pyspark.sql import functions as F
 from wayfare.llm.common import batches, materialize
 
 MIN_PAGES, MIN_SHARE, MIN_TOKENS = 3, 0.5, 3
+#: Least share of a host's pages for a layout of its own; it bounds a host's template. How often an article's text counts.
+MINORITY, HINT = 0.05, 2
 
 #: What HTML elements and the usual names of page parts mean.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -154,10 +163,10 @@ def templates(pages: DataFrame) -> DataFrame:
     c = pages.select("host", "html").mapInArrow(_counted, "host string, token string, pages long, total long, vector double, place double")
     c = c.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("place").alias("place"))
     sizes = c.where("token = ''").select(F.col("host").alias("_host"), F.col("pages").alias("n")).where(f"n >= {MIN_PAGES}")
-    c = c.where(f"token <> '' AND pages >= {MIN_PAGES}").join(sizes, F.col("host") == F.col("_host")).where(f"pages >= n * {MIN_SHARE}")
+    c = c.where(f"token <> '' AND pages >= {MIN_PAGES}").join(sizes, F.col("host") == F.col("_host")).where(f"pages >= n * {MINORITY}")
     classes = c.groupBy("host", "n", "pages", "total", (F.col("vector") % F.lit(1 << 52).cast("decimal(38,0)")).alias("vector")).agg(F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token"))).alias("t"))
-    # valid: enough tokens, or the frame of every page
-    classes = classes.where(f"size(t) >= {MIN_TOKENS} OR pages = n")
+    # valid: enough tokens, or the frame of every page; a layout of fewer pages has tags of its own
+    classes = classes.where(f"pages = n OR size(t) >= {MIN_TOKENS} AND (pages >= n * {MIN_SHARE} OR exists(t, x -> x.token LIKE '<%' AND x.token NOT LIKE '</%'))")
     return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("fewer"), "total", F.col("t.token").alias("tokens")))).alias("template"))
 
 
@@ -165,10 +174,13 @@ def extract(page: str, template: list[tuple[int, list[str]]] | None = None) -> l
     """The blocks of the article. template: (total less pages, tokens) of its classes; classes that occur once a page frame slots."""
     frame: set[str] = set()
     fixed: set[str] = set()
+    bound: set[str] = set()  # texts that occur as often as some tag on every page; others may be content that recurs
     for more, names in template or ():
         if more == 0:
             frame |= {t for t in names if t[0] == "<"}
         fixed |= {t for t in names if t[0] == "#"}
+        if any(t[0] == "<" and t[1] != "/" for t in names):
+            bound |= {t for t in names if t[0] == "#"}
     # a token frames slots only where it occurs once here as well
     once: dict[str, int] = {}
     stream = list(tokens(page))
@@ -179,17 +191,21 @@ def extract(page: str, template: list[tuple[int, list[str]]] | None = None) -> l
 
     stack: list[tuple[str, bool, bool, int]] = []  # name, other part, article, number of the element
     slot = opened = 0
-    blocks: list[tuple[str, bool, tuple, int]] = []
+    blocks: list[tuple[str, int, tuple, int, bool, bool]] = []  # text, its article (0: none, -1: main), path, slot, h1, template
     buffer: list[str] = []
+    own: list[bool] = []
 
     def flush() -> None:
         """Ends a block; its elements and slot matter where no article is marked."""
         if buffer:
             t = flat("".join(buffer))
+            same = bool(own) and all(own)
             buffer.clear()
+            own.clear()
             if t:
                 path = tuple(k for n, _, _, k in stack if n not in INLINE and n not in ("p", "li", "ul", "ol") and n not in HEADINGS)
-                blocks.append((t, any(x[2] for x in stack), path, slot))
+                unit = next((x[3] for x in stack if x[0] == "article"), -1 if any(x[2] for x in stack) else 0)
+                blocks.append((t, unit, path, slot, any(x[0] == "h1" for x in stack), same))
 
     for kind, name, sign, run in stream:
         if kind == "text":
@@ -198,8 +214,11 @@ def extract(page: str, template: list[tuple[int, list[str]]] | None = None) -> l
             heading = inside and any(x[0] in HEADINGS for x in stack) and all(x[0] == "header" for x in stack if x[1])
             if other and not heading:
                 continue
-            if not inside and text_token(run) in fixed:
+            same = bool(fixed) and bool(run.strip()) and text_token(run) in (bound if inside else fixed)
+            if not inside and same:
                 continue  # the template's own text
+            if run.strip():
+                own.append(same)  # in an article a whole block is the template's or none of it
             buffer.append(run)
             continue
         if name not in INLINE:
@@ -229,16 +248,30 @@ def extract(page: str, template: list[tuple[int, list[str]]] | None = None) -> l
             if sign in frame:
                 slot += 1
     flush()
+    for unit in {b[1] for b in blocks if b[1] and b[5]}:
+        # mostly template text: the article itself is repeated
+        of = [b for b in blocks if b[1] == unit]
+        if 2 * sum(len(b[0]) for b in of if b[5]) < sum(len(b[0]) for b in of):
+            blocks = [b for b in blocks if b[1] != unit or not b[5]]
+    cards = sum(len(b[0]) for b in blocks if b[1] > 0)
+    around = [b for b in blocks if b[1] == -1] or _most([b for b in blocks if b[1] == 0])
+    teasers = not any(b[1] > 0 and b[4] for b in blocks) and sum(len(b[0]) for b in around) > HINT * cards
+    if teasers and cards:
+        return [b[0] for b in around]
     if any(b[1] for b in blocks):
-        return [t for t, inside, _, _ in blocks if inside]
-    # no article: the slots under the element with most text
+        return [b[0] for b in blocks if b[1]]
+    return [b[0] for b in around]
+
+
+def _most(blocks: list[tuple]) -> list[tuple]:
+    """The slots under the element with most text."""
     size: dict[tuple, int] = {}
-    for t, _, path, at in blocks:
-        size[(path, at)] = size.get((path, at), 0) + len(t)
+    for b in blocks:
+        size[(b[2], b[3])] = size.get((b[2], b[3]), 0) + len(b[0])
     if not size:
         return []
     best = max(size, key=lambda k: (size[k], k))
-    return [t for t, _, path, at in blocks if path[: len(best[0])] == best[0] or (path, at) == best]
+    return [b for b in blocks if b[2][: len(best[0])] == best[0] or (b[2], b[3]) == best]
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", column: str = "html") -> DataFrame:
