@@ -387,6 +387,22 @@ def test_licenses(spark):
     assert all(got[i].n_matches == 0 for i in range(len(texts) - 3, len(texts)))
 
 
+def test_license_runs(spark):
+    """A licence is found though its text is wrapped, has several paragraphs and stands in a longer text; others are not added."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(5)) + "." * (k % 9 == 8) for k in range(n))
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = []
+    for k, v in licenses.TEMPLATES.items():
+        rows += [(k, f"{prose(300)}\n\n{wrap(v, 7)}\n\n{prose(300)}"), (k, f"{prose(200)}.\n{wrap(v, 11)}\n{prose(200)}"), (k, f"{prose(90)}. {v.replace('. ', '.' + chr(10) * 2)} {prose(40)}.")]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.id: r for r in licenses.scan(d).collect()}
+    for i, (k, _) in enumerate(rows):
+        assert i % 3 == 2 or k in got[i].licenses.split(",") and got[i].best_score == 1.0, (k, got[i])
+        assert i % 3 or not {"GPL-2.0", "GPL-3.0"} <= set(got[i].licenses.split(","))
+    assert all(k in got[i].licenses.split(",") for i, (k, _) in enumerate(rows) if k in ("MIT-text", "Apache-2.0-header"))
+
+
 def test_license_words():
     """No segment that reaches the threshold lacks all the words that prune."""
     rng = random.Random(7)

@@ -6,6 +6,10 @@ bigram sets of a segment and a template have Dice coefficient ``2 |A & B| / (|A|
 segment also shares ``t / (2 - t)`` of the template's bigrams, hence some of a few words (:func:`needles`), which settles
 nearly all texts. Templates are constants of the plan, so a scan and one projection without a shuffle do the work.
 
+A licence may also stretch over several lines, sentences or paragraphs of a longer text. Runs of consecutive lines or
+sentences within a template's bounds are compared where the text as a whole shares enough of its bigrams (:func:`_runs`);
+the best run counts once for each template that no segment of the row matches as well.
+
 Defined cases: null, blank and one-word texts match nothing; ties go to the template first by name; repeated rows are
 scanned alike; very long texts are scanned whole.
 """
@@ -110,9 +114,49 @@ def _score(grams: Column, templates: dict[str, list[str]], threshold: float) ->
     return F.array_min(F.array_compact(F.array(*scores)))
 
 
+def _pairs(words: Column) -> Column:
+    """The distinct bigrams of an array of words, which is evaluated once."""
+    two = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.transform(F.array(words), two)[0]
+
+
+def _runs(d: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """d(pieces, found) with the best (score, name) of runs of at least two pieces added to found, for names it lacks or has with less.
+
+    A run has at most ``(2 - t) / t`` times the words of the template. No template is tried from a piece after which that
+    many words share too few of its bigrams.
+    """
+    grams = {k: bigrams(normalise(v)) for k, v in sorted(templates.items())}
+    kinds = [
+        F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(bounds(len(g), threshold)[0]).alias("least"), F.lit(bounds(len(normalise(templates[k])), threshold)[1]).alias("most"))
+        for k, g in grams.items() if g
+    ]
+    every = F.array(*map(F.lit, sorted(set().union(*grams.values()))))
+    d = d.withColumn("shared", F.array_intersect(_pairs(F.split(F.array_join("pieces", " "), " ")), every))
+    d = d.withColumn("close", F.filter(F.array(*kinds), lambda k: F.size(F.array_intersect("shared", k["grams"])) >= k["least"]))
+    lacks = lambda k: ~F.exists("found", lambda x: (x["name"] == k["name"]) & (x["worse"] <= -1.0))
+    better = lambda r: ~F.exists("found", lambda x: (x["name"] == r["name"]) & (x["worse"] <= r["worse"]))
+    # words with a mark before, between and after pieces; a run lies between two marks
+    d = d.withColumn("w", F.when(F.exists("close", lacks) & (F.size("pieces") > 1), F.split(F.concat(F.lit("| "), F.array_join("pieces", " | "), F.lit(" |")), " ")).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn("m", F.filter(F.transform("w", lambda x, i: F.when(x == "|", i + 1)), lambda i: i.isNotNull()))
+    at = lambda i: F.get("m", i)
+    after = lambda a, k: F.slice(F.array_remove(F.slice("w", at(a) + 1, 2 * k["most"] + 1), "|"), F.lit(1), k["most"])
+    inside = lambda a, b: F.array_remove(F.slice("w", at(a) + 1, at(b) - at(a) - 1), "|")
+    dice = lambda g, k: 2.0 * F.size(F.array_intersect(g, k["grams"])) / (F.size(g) + F.size(k["grams"]))
+    best = lambda g: F.array_min(F.filter(F.transform("close", lambda k: F.struct((-dice(g, k)).alias("worse"), k["name"].alias("name"))), lambda x: x["worse"] <= -threshold))
+    ends = lambda a, k: F.filter(F.sequence(a + 2, F.least(F.size("m") - 1, a + k["most"])), lambda b: (at(b) - at(a) - (b - a)).between(k["least"] + 1, k["most"]))
+    starts = lambda k: F.filter(F.sequence(F.lit(0), F.size("m") - 3), lambda a: F.size(F.array_intersect(_pairs(after(a, k)), k["grams"])) >= k["least"])
+    of = lambda k: F.flatten(F.transform(starts(k), lambda a: F.transform(ends(a, k), lambda b: F.transform(F.array(_pairs(inside(a, b))), best)[0])))
+    more = F.filter(F.array_compact(F.flatten(F.transform(F.filter("close", lacks), of))), better)
+    d = d.withColumn("more", F.when(F.size("m") > 2, more).otherwise(F.array().cast("array<struct<worse:double,name:string>>")))
+    firsts = F.filter(F.array_sort(F.array_distinct("more")), lambda x: x["worse"] == F.array_min(F.filter("more", lambda y: y["name"] == x["name"]))["worse"])
+    return d.withColumn("found", F.concat("found", firsts))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """(id, n_matches, best_license, best_score, licenses): segments that match, the best and all names of each row."""
-    grams = {k: bigrams(normalise(v)) for k, v in (templates or TEMPLATES).items()}
+    templates = templates or TEMPLATES
+    grams = {k: bigrams(normalise(v)) for k, v in templates.items()}
     grams = {k: v for k, v in grams.items() if v}
     least, longest = limits(grams, threshold)
     d = docs.select(F.col(id_column).alias("id"), F.lower(text(column)).alias("t"))
@@ -133,8 +177,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     # words of a segment: blanks and one; bigrams are one less, repeats lower that only in the text
     blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
     d = d.withColumn("segments", F.filter("segments", lambda x: blanks(x) >= least))
-    two = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    d = d.withColumn("found", F.array_compact(F.transform("segments", lambda x: F.transform(F.array(two(F.split(x, " "))), lambda g: _score(g, grams, threshold))[0])))
+    d = d.withColumn("found", F.array_compact(F.transform("segments", lambda x: F.transform(F.array(_pairs(F.split(x, " "))), lambda g: _score(g, grams, threshold))[0])))
+    d = _runs(d.withColumn("pieces", F.filter(F.transform(lines, flat), lambda x: x != "")), templates, threshold)
     best = F.array_min("found")
     return d.select(
         "id",
