@@ -184,3 +184,11 @@ def test_stream_slow_requests(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.sql("SELECT * FROM slow").collect()
     assert got and {r.endpoint for r in got} == {"a"} and max(r.slow_count for r in got) == 6
+
+
+def test_bitset_counts_any_id(spark):
+    """Every id counts, also negative, very large and null ones."""
+    ids = [-(2**62), -40_000, -32_768, -1, 0, 1, 32_768, 32_769, 32_000_000, 32_000_001, 2**40, 2**62, None]
+    rows = [(i, "FRA", 50.0, "x") for i in ids for _ in range(2)] + [(i, "x", 3000.0, "Breakfast") for i in [*ids[3:], 7, -9]]
+    d = spark.createDataFrame(rows, "hotel_id long, outbound_departure_airport string, price double, meal_type string")
+    assert tuple(indexes.bitset_counts(d).first()) == (13, 12, 10, 15)

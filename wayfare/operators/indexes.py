@@ -134,11 +134,14 @@ def filter_options(d: DataFrame) -> DataFrame:
 
 
 def bitset_counts(d: DataFrame) -> DataFrame:
-    """(pair, n): cardinalities of bitmaps of hotel ids, and of their intersection and union by bitmap algebra."""
-    d = d.where("hotel_id BETWEEN 0 AND 32000000")
-    bits = lambda c: F.bitmap_construct_agg(F.when(c, F.bitmap_bit_position("hotel_id")))
+    """(pair, n): cardinalities of bitmaps of hotel ids, and of their intersection and union by bitmap algebra.
+
+    Buckets make any id fit; the null id, a value of its own to SQL's set operators, has a bucket beyond those of numbers.
+    """
+    bucket, bit = F.coalesce(F.bitmap_bucket_number("hotel_id"), F.lit(1 << 60)), F.coalesce(F.bitmap_bit_position("hotel_id"), F.lit(0).cast("long"))
+    bits = lambda c: F.bitmap_construct_agg(F.when(c, bit))
     a, b = (F.col("outbound_departure_airport") == "FRA") & (F.col("price") < 100), (F.col("meal_type") == "Breakfast") & (F.col("price") > 2000)
-    per = d.groupBy(F.bitmap_bucket_number("hotel_id").alias("bucket")).agg(bits(a).alias("a"), bits(b).alias("b"))
+    per = d.groupBy(bucket.alias("bucket")).agg(bits(a).alias("a"), bits(b).alias("b"))
     both = per.select("bucket", F.explode(F.array("a", "b")).alias("m")).groupBy("bucket").agg(F.bitmap_or_agg("m").alias("o"), F.bitmap_and_agg("m").alias("n"))
     d = per.join(both, "bucket").agg(F.sum(F.bitmap_count("a")).alias("first"), F.sum(F.bitmap_count("b")).alias("second"), F.sum(F.bitmap_count("n")).alias("both"), F.sum(F.bitmap_count("o")).alias("either"))
     return d
