@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,16 +32,29 @@ def text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores put before it until no column of docs has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, one of our own where that is unset."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = os.path.join(tempfile.gettempdir(), "checkpoints")
-    sc.setCheckpointDir(named)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -58,6 +72,11 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of df by Spark's statistics, which come from file sizes and cost no scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut there, lost executors recompute from the files.
 

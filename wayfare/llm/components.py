@@ -13,7 +13,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round points every larger neighbour of a node, then every smaller one, at the smallest neighbour. Rows of a hub
     are pre-aggregated to its minimum before they are joined, so a hub costs one row for each of its links, never pairs.
-    An empty edge table gives an empty result.
+    An empty edge table gives an empty result. Rounds grow with the logarithm of the longest path; if ``max_rounds`` do not
+    suffice an error is raised, never an unfinished result.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e)
@@ -32,4 +33,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if n == leaves and state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())

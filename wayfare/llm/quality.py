@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import text
+from wayfare.llm.common import free_name, text
 
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -118,7 +118,16 @@ def _verdict(c: Column, rules: tuple[Rule, ...], min_words: int, max_repeat: int
     return _let(_let(ratios, lambda r: F.struct(base.alias("base"), failed(r).alias("failed"))), out)
 
 
+def verdict(rules: tuple[Rule, ...] = RULES, column: str = "text", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> Column:
+    """The counts, ``base_failed``, ``kept`` and ``failed_rules`` of a text, as one struct of one projection."""
+    return _let(text(column), lambda t: _let(_words(t), lambda w: _let(_counts(t, w), lambda c: _verdict(c, rules, min_words, max_repeat))))
+
+
 def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "text", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """docs plus ``_q``: the counts, ``base_failed``, ``kept`` and ``failed_rules``, as one struct of one projection."""
-    q = _let(text(column), lambda t: _let(_words(t), lambda w: _let(_counts(t, w), lambda c: _verdict(c, rules, min_words, max_repeat))))
-    return docs.withColumn("_q", q)
+    """docs and, as its last column, ``verdict()`` named ``_q``; where docs has that column, underscores are put before the name."""
+    return docs.withColumn(free_name(docs, "_q"), verdict(rules, column, min_words, max_repeat))
+
+
+def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "text") -> DataFrame:
+    """The rows of docs that pass; no column is added or lost."""
+    return docs.where(verdict(rules, column)["kept"])
