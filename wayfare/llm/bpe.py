@@ -3,14 +3,19 @@
 1. Each task pre-tokenizes its documents in chunks of bounded size. A chunk's distinct words get local numbers by first
    occurrence; every pre-token leaves its word's number at its position. One scan gives the distinct words of each chunk,
    another the positions of each document, which so never travel with the words.
-2. Distinct words are dealt out by a hash bucket, sorted by bucket, and each is encoded once where its bucket lies. Only
-   distinct words of a chunk travel, so a word that is a twentieth of all pre-tokens costs one row part per chunk.
+2. Distinct words are dealt out by a hash bucket, sorted by bucket, and each is merged once where its bucket lies, a batch
+   of words together. Only distinct words of a chunk travel, so a word that is a twentieth of all pre-tokens costs one row
+   part per chunk.
 3. Ids go back to their chunk, and each document is put together by position. Decoding looks each id up in the table of
    token bytes, whose size the vocabulary fixes.
 
+A chunk is named by its task and its number there, and goes to a partition by that name: chunks are dealt out evenly, and
+copies of a chunk are chunks of their own. Partitions grow with the input, so none grows with it.
+
 Defined cases: a null text is an empty text; an empty text has no tokens; repeated rows and ids are encoded row by row;
-one very long document makes one chunk of its own. docs must read alike on both scans, as a table does; a chunk that
-changed between them raises an error. Special tokens are never produced: their strings are ordinary text.
+one very long document makes one chunk of its own; extra columns are ignored. docs must read alike on both scans, as a
+table does; chunks carry a digest of their texts, and one that changed between the scans raises an error. Special tokens
+are never produced: their strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -23,10 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import batches, text
+from wayfare.llm.common import batches, input_bytes, text
 
-#: Text bytes of a chunk, and word buckets for each shuffle partition.
+#: Characters of a chunk, and word buckets for each shuffle partition.
 CHUNK_BYTES, BUCKETS_EACH = 16 << 20, 4
+#: Input bytes, by Spark's statistics, for each shuffle partition, where that asks for more than spark.sql.shuffle.partitions.
+PARTITION_BYTES = 32 << 20
+#: Longer words are merged one by one; words that are merged together.
+LONG, TOGETHER = 48, 1 << 14
+#: A pattern that begins with English clitics says the same with them behind the words: no word begins with an apostrophe.
+CLITICS, WORDS = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+|", " ?\\p{L}++|'(?:s|t|re|ve|m|ll|d)|"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,6 +87,75 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p, a in zip(parts, alive) if a]
 
 
+class Merger:
+    """Merges many words together: one numpy step merges the best pair of each word that has one."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.rank = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.none = np.int64(1 << 62)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((b >= 0) & (self.keys[at] == key), self.rank[at], self.none)
+
+    def _merged(self, words: list[bytes]) -> list[list[int]]:
+        """Words of 2 to LONG bytes, none a token, of like lengths."""
+        n, width = len(words), max(map(len, words))
+        size = np.array([len(w) for w in words])
+        ids = np.full((n, width + 1), -1, np.int64)
+        ids[np.arange(width + 1)[None] < size[:, None]] = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full((n, width + 1), self.none)
+        rank[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
+        left, place = np.arange(n), np.arange(width + 1)
+        x, r = ids, rank
+        while True:
+            at = r.argmin(axis=1)
+            best = r[np.arange(len(r)), at]
+            live = best < self.none
+            if not live.all():
+                ids[left[~live]] = x[~live]
+                left, x, r, at, best = left[live], x[live], r[live], at[live], best[live]
+            if not len(left):
+                break
+            # all behind the merged pair move up by one
+            take = np.minimum(place[None] + (place[None] > at[:, None]), width)
+            x, r = np.take_along_axis(x, take, 1), np.take_along_axis(r, take, 1)
+            rows = np.arange(len(left))
+            x[rows, at] = best
+            x[:, width] = -1
+            r[rows, at] = self._ranks(best, x[rows, np.minimum(at + 1, width)])
+            before = np.flatnonzero(at > 0)
+            r[before, at[before] - 1] = self._ranks(x[before, at[before] - 1], best[before])
+        count = (ids >= 0).sum(axis=1).tolist()
+        return [row[:c] for row, c in zip(ids.tolist(), count)]
+
+    def encode(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        out: dict[bytes, list[int]] = {}
+        rest = []
+        for w in words:
+            if (i := self.ranks.get(w)) is not None:
+                out[w] = [i]
+            elif len(w) > LONG:
+                out[w] = merge_word(w, self.ranks)
+            else:
+                rest.append(w)
+        rest.sort(key=len)
+        for k in range(0, len(rest), TOGETHER):
+            part = rest[k : k + TOGETHER]
+            out.update(zip(part, self._merged(part)))
+        return out
+
+
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers under 2**35 as base-128 digits, low first, the last without the high bit."""
     v = numbers.astype(np.uint64)
@@ -117,33 +197,50 @@ def _chunks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
         yield keys, texts
 
 
-def _numbered(it: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list, dict[str, int], list[list[int]]]]:
-    """(chunk, keys, number of each distinct word by first occurrence, numbers of the pre-tokens by document) of each chunk.
+class _Numbers(dict):
+    """Numbers of words by first occurrence."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _numbered(it: Iterator[pa.RecordBatch], pattern: str, partitions: int) -> Iterator[tuple[list[int], list, dict[str, int], list[list[int]]]]:
+    """([home, chunk, digest], keys, number of each distinct word, numbers of the pre-tokens by document) of each chunk.
 
-    A chunk is named by its content, so both scans give it one name, and chunks of equal content share their words.
+    Homes run on from one task to the next, so the chunks of neighbouring tasks go to different partitions.
     """
     import regex
     import xxhash
+    from pyspark import TaskContext
 
-    find = regex.compile(pattern).findall
-    for keys, texts in _chunks(it):
-        number: dict[str, int] = {}
-        name = xxhash.xxh3_64()
+    task = TaskContext.get().partitionId()
+    find = regex.compile(WORDS + pattern[len(CLITICS) :] if pattern.startswith(CLITICS) else pattern).findall
+    for k, (keys, texts) in enumerate(_chunks(it)):
+        number = _Numbers()
+        digest = xxhash.xxh3_64()
         seqs = []
         for t in texts:
-            name.update(t.encode("utf-8", "surrogatepass"))
-            name.update(b"\xff")
-            seqs.append([number.setdefault(w, len(number)) for w in find(t)])
-        yield name.intdigest() >> 1, keys, number, seqs
+            digest.update(t.encode("utf-8", "surrogatepass"))
+            digest.update(b"\xff")
+            seqs.append(list(map(number.__getitem__, find(t))))
+        yield [(task + 7919 * k) % partitions, task << 32 | k, digest.intdigest() >> 1], keys, number, seqs
 
 
-def _words(pattern: str, buckets: int):
+NAME = "home int, chunk long, digest long"
+
+
+def _named(name: list[int], n: int) -> list[pa.Array]:
+    return [pa.array([v] * n, kind) for v, kind in zip(name, (pa.int32(), pa.int64(), pa.int64()))]
+
+
+def _words(pattern: str, buckets: int, partitions: int):
     """The mapInArrow function of the first scan: a row for each chunk and bucket with its distinct words and their numbers."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for chunk, _, number, _ in _numbered(it, pattern):
+        for name, _, number, _ in _numbered(it, pattern, partitions):
             words = [w.encode("utf-8", "surrogatepass") for w in number]
             if not words:
                 continue
@@ -153,18 +250,18 @@ def _words(pattern: str, buckets: int):
             for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
                 ws = [words[i] for i in part]
                 rows.append((int(home[part[0]]), _blob(pack(np.diff(part, prepend=0)), pack(np.array([len(w) for w in ws])), b"".join(ws))))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "bucket", "data"])
+            yield pa.RecordBatch.from_arrays([*_named(name, len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["home", "chunk", "digest", "bucket", "data"])
 
     return run
 
 
-def _positions(pattern: str):
+def _positions(pattern: str, partitions: int):
     """The mapInArrow function of the second scan: a row for each document with the word number at each position."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, keys, _, seqs in _numbered(it, pattern):
+        for name, keys, _, seqs in _numbered(it, pattern, partitions):
             data = [pack(np.array(s, np.int64)) for s in seqs]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(keys), pa.int64()), pa.array([k.as_py() for k in keys], keys[0].type), pa.array(data, pa.binary())], ["chunk", "id", "data"])
+            yield pa.RecordBatch.from_arrays([*_named(name, len(keys)), pa.array([1] * len(keys), pa.int32()), pa.array([k.as_py() for k in keys], keys[0].type), pa.array(data, pa.binary())], ["home", "chunk", "digest", "kind", "id", "data"])
 
     return run
 
@@ -185,71 +282,101 @@ def _parts(packed: bytes) -> list[bytes]:
     return out
 
 
-def _encoded(pattern: str, ranks):
+def _encoded(ranks):
     """The mapInArrow function of step 2. Rows come sorted by bucket, so the words known so far are those of one bucket."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        # the merge routine of the tokenizer library over the broadcast ranks; merge_word() is the same in plain Python
-        one = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._core_bpe.encode_single_piece
+        merger = None
         known: dict[bytes, list[int]] = {}
         now = -1
         for b in it:
-            out = []
-            for bucket, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if bucket != now:
-                    known, now = {}, bucket
+            merger = merger or Merger(ranks.value)
+            rows = []
+            new: dict[bytes, None] = {}
+            for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()):
                 numbers, sizes, words = _parts(data)
-                at, ids, counts = 0, [], []
-                for n in unpack(sizes).tolist():
-                    w = words[at : at + n]
-                    at += n
-                    x = known.get(w)
-                    if x is None:
-                        x = known[w] = one(w)
-                    ids += x
-                    counts.append(len(x))
-                out.append(_blob(numbers, pack(np.array(counts)), pack(np.array(ids))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["chunk", "data"])
+                ends = np.cumsum(unpack(sizes)).tolist()
+                ws = [words[i:j] for i, j in zip([0, *ends], ends)]
+                if bucket != now:
+                    known, now = {}, bucket  # words of another bucket are other words
+                rows.append((numbers, ws, known))
+                new.update((w, None) for w in ws if w not in known)
+                known.update((w, ()) for w in ws if w not in known)
+            ids_of = merger.encode(list(new))
+            out = []
+            for numbers, ws, table in rows:
+                for w in ws:
+                    if not table[w]:
+                        table[w] = ids_of[w]
+                each = [table[w] for w in ws]
+                out.append(_blob(numbers, pack(np.array([len(x) for x in each])), pack(np.array([i for x in each for i in x]))))
+            yield pa.RecordBatch.from_arrays([b.column("home"), b.column("chunk"), b.column("digest"), pa.array([0] * len(out), pa.int32()), pa.array(out, pa.binary())], ["home", "chunk", "digest", "kind", "data"])
 
     return run
 
 
+class _Chunk:
+    """The words of a chunk as they are said, decoded and counted."""
+
+    def __init__(self, digest: int) -> None:
+        self.digest, self.of, self.ready = digest, {}, False
+
+    def add(self, data: bytes) -> None:
+        numbers, counts, ids = map(unpack, _parts(data))
+        at, flat = 0, ids.tolist()
+        for n, c in zip(np.cumsum(numbers).tolist(), counts.tolist()):
+            self.of[n] = flat[at : at + c]
+            at += c
+
+    def close(self, table: dict[int, bytes]) -> None:
+        if not self.ready:
+            self.ready = True
+            if max(self.of, default=-1) + 1 != len(self.of):
+                raise ValueError("a word of the chunk has no ids")
+            self.each = [self.of[i] for i in range(len(self.of))]
+            self.said = [",".join(map(str, x)) for x in self.each]
+            self.raw = [b"".join([table[i] for i in x]) for x in self.each]
+            self.count = np.array([len(x) for x in self.each], np.int64)
+
+
 def _assembled(tokens, kind: pa.DataType, full: bool):
-    """The cogrouped function of step 3: one chunk's positions and the ids of its words."""
+    """The mapInArrow function of step 3: rows come by chunk, the ids of its words before the positions of its documents."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         table = tokens.value
-        ids_of: dict[int, np.ndarray] = {}
-        for data in right.column("data").to_pylist():
-            numbers, counts, ids = map(unpack, _parts(data))
-            for n, x in zip(np.cumsum(numbers).tolist(), np.split(ids, np.cumsum(counts)[:-1])):
-                ids_of[n] = x
-        size = max(ids_of, default=-1) + 1
-        if size != len(ids_of):
-            raise ValueError("a word of the chunk has no ids: its documents changed between the scans")
-        each = [ids_of[i].tolist() for i in range(size)]
-        said = [",".join(map(str, x)) for x in each]
-        raw = [b"".join([table[i] for i in x]) for x in each]
-        count = np.array([len(x) for x in each], np.int64)
-        rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        more: dict[str, list] = {"ids": [], "decoded": []}
-        for data in left.column("data").to_pylist():
-            seq = unpack(data)
-            at = seq.tolist()
-            rows["n_tokens"].append(int(count[seq].sum()) if len(at) else 0)
-            rows["ids_sha256"].append(hashlib.sha256(",".join([said[i] for i in at]).encode()).hexdigest())
-            rows["decoded_sha256"].append(hashlib.sha256(b"".join([raw[i] for i in at])).hexdigest())
+        now, c = None, _Chunk(0)
+        for b in it:
+            ids, rows = [], {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
+            key = b.column("id")
+            for i, (chunk, digest, what, data) in enumerate(zip(*(b.column(n).to_pylist() for n in ("chunk", "digest", "kind", "data")))):
+                if chunk != now:
+                    now, c = chunk, _Chunk(digest)
+                if digest != c.digest:
+                    raise ValueError("the documents of a chunk changed between the scans")
+                if what == 0:
+                    c.add(data)
+                    continue
+                c.close(table)
+                seq = unpack(data)
+                at = seq.tolist()
+                if at and max(at) >= len(c.each):
+                    raise ValueError("the documents of a chunk changed between the scans")
+                ids.append(i)
+                rows["n_tokens"].append(int(c.count[seq].sum()) if at else 0)
+                rows["ids_sha256"].append(hashlib.sha256(",".join([c.said[k] for k in at]).encode()).hexdigest())
+                decoded = b"".join([c.raw[k] for k in at])
+                rows["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
+                if full:
+                    rows["ids"].append([x for k in at for x in c.each[k]])
+                    rows["decoded"].append(decoded.decode("utf-8", "replace"))
+            cols = [key.take(pa.array(ids, pa.int64())).cast(kind), pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["ids_sha256"], pa.string()), pa.array(rows["decoded_sha256"], pa.string())]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if full:
-                more["ids"].append([i for k in at for i in each[k]])
-                more["decoded"].append(b"".join([raw[i] for i in at]).decode("utf-8", "replace"))
-        cols = {"id": left.column("id").combine_chunks().cast(kind), "n_tokens": pa.array(rows["n_tokens"], pa.int64()), "ids_sha256": pa.array(rows["ids_sha256"], pa.string()), "decoded_sha256": pa.array(rows["decoded_sha256"], pa.string())}
-        if full:
-            cols |= {"ids": pa.array(more["ids"], pa.list_(pa.int32())), "decoded": pa.array(more["decoded"], pa.string())}
-        return pa.table(cols)
+                cols += [pa.array(rows["ids"], pa.list_(pa.int32())), pa.array(rows["decoded"], pa.string())]
+                names += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -264,10 +391,12 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
     held = spark.sparkContext.broadcast(ranks)
     tokens = spark.sparkContext.broadcast({i: b for b, i in ranks.items()})
     kind_sql, kind = docs.schema[id_column].dataType.simpleString(), to_arrow_type(docs.schema[id_column].dataType)
-    buckets = BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(docs)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES) if size < 1 << 60 else 0)  # rows from no table have no size
     d = docs.select(F.col(id_column).alias("id"), text(column).alias("t"))
-    words = d.mapInArrow(_words(pattern, buckets), "chunk long, bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
-    places = d.mapInArrow(_positions(pattern), f"chunk long, id {kind_sql}, data binary")
-    ids = words.mapInArrow(_encoded(pattern, held), "chunk long, data binary")
+    words = d.mapInArrow(_words(pattern, n * BUCKETS_EACH, n), f"{NAME}, bucket int, data binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    places = d.mapInArrow(_positions(pattern, n), f"{NAME}, kind int, id {kind_sql}, data binary")
+    ids = words.mapInArrow(_encoded(held), f"{NAME}, kind int, data binary").withColumn("id", F.lit(None).cast(kind_sql))
+    rows = places.unionByName(ids).repartitionById(n, F.col("home")).sortWithinPartitions("chunk", "kind")
     schema = f"id {kind_sql}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
-    return places.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_assembled(tokens, kind, full), schema)
+    return rows.mapInArrow(_assembled(tokens, kind, full), schema)
