@@ -31,7 +31,7 @@ def operators():
     path = P.path("byte_bpe_multi_50k.tiktoken")
     return {
         "bpe": lambda d: bpe.encode_decode(d, path, P.PATTERN),
-        "media": lambda d: media.read_back(media.stored(d)),
+        "media": lambda d: media.read_back(media.pcm_blocks(media.stored(d))),
         "mixing": lambda d: mixing.mix(d),
         "toxicity": lambda d: toxicity.apply(d, toxicity.train(d, d.select("doc_id", F.lit(1).alias("toxic")))),
         "suffix": lambda d: suffix.without_repeats(d),
@@ -58,7 +58,7 @@ def test_mix_keeps_all(docs, empty):
 
 
 def test_null_is_empty(docs):
-    r = {x.id: x for x in media.read_back(media.stored(docs.where("doc_id < 2"))).collect()}
+    r = {x.id: x for x in media.read_back(media.pcm_blocks(media.stored(docs.where("doc_id < 2")))).collect()}
     assert r[0].n_bytes == 0 and r[0].payload_bytes == 64 and r[0].media_sha256 == r[1].media_sha256
     q = {x.doc_id: x._q for x in quality.annotate(docs.where("doc_id < 3")).collect()}
     assert all(q[i].n_words == 0 and q[i].base_failed and not q[i].kept for i in range(3))

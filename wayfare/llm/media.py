@@ -472,39 +472,73 @@ def stored(docs: DataFrame, id_column: str = "doc_id", column: str = "text") ->
     return docs.select(F.col(id_column).alias("id"), F.encode(text(column), "UTF-8").alias("t")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
 
 
-def read_back(media: DataFrame) -> DataFrame:
-    """(id, n_bytes, media_bytes, media_sha256, payload_bytes, payload_sha256, tail_crc32, feature) of ``stored()`` rows."""
+#: The blocks of a document: where each begins among its samples, and the samples.
+BLOCKS = "array<struct<sample_offset: bigint, pcm: binary>>"
+
+
+def pcm_blocks(media: DataFrame, together: int = 16) -> DataFrame:
+    """(id, n_bytes, media_bytes, media_sha256, blocks) of ``stored()`` rows: verified samples in blocks of ``together`` frames.
+
+    A row for each document, to be written as a table; ``samples()`` seeks in it.
+    """
+    blocks_type = pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for at, data in _groups(b, 2):
-                pcm = [b"".join(x for _, x in blocks) for blocks in decode(data)]
+                rows = [
+                    [{"sample_offset": frames[k][0], "pcm": b"".join(x for _, x in frames[k : k + together])} for k in range(0, len(frames), together)]
+                    for frames in decode(data)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(at, len(data)), b.column(1).slice(at, len(data)), pa.array([len(d) for d in data], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data]),
-                        pa.array([len(p) for p in pcm], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in pcm]), pa.array([zlib.crc32(p[-64:]) for p in pcm], pa.int64()), pa.array([features(p) for p in pcm]),
-                    ],
-                    ["id", "n_bytes", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"],
-                )
+                    [b.column(0).slice(at, len(data)), b.column(1).slice(at, len(data)), pa.array([len(d) for d in data], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data]), pa.array(rows, blocks_type)],
+                    ["id", "n_bytes", "media_bytes", "media_sha256", "blocks"],
+                )
 
     kind = media.schema["id"].dataType.simpleString()
-    return media.mapInArrow(run, f"id {kind}, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    return media.mapInArrow(run, f"id {kind}, n_bytes long, media_bytes long, media_sha256 string, blocks {BLOCKS}")
 
 
-def pcm_blocks(media: DataFrame, together: int = 16) -> DataFrame:
-    """(id, block, sample_offset, pcm): the decoded samples in blocks of ``together`` frames, to be written as a table and sought by offset."""
+def samples(blocks: DataFrame, first: int, count: int) -> DataFrame:
+    """(id, pcm): up to ``count`` samples of each document from sample ``first``, from the blocks that hold them only."""
+    hit = F.filter("blocks", lambda b: (b["sample_offset"] < first + count) & (b["sample_offset"] + F.octet_length(b["pcm"]) > first))
+    d = blocks.select("id", hit.alias("hit"))
+    joined = F.aggregate("hit", F.lit(b""), lambda a, b: F.concat(a, b["pcm"]))
+    begin = F.greatest(F.lit(0), F.lit(first) - F.coalesce(F.get("hit", F.lit(0))["sample_offset"], F.lit(first)))
+    return d.select("id", F.substring(joined, (begin + 1).cast("int"), F.lit(count)).alias("pcm"))
+
+
+def joined(blocks: list[dict]) -> bytes:
+    """The samples of a document from its blocks, which must follow each other without a gap."""
+    out, at = [], 0
+    for b in sorted(blocks, key=lambda b: b["sample_offset"]):
+        if b["sample_offset"] != at:
+            raise ValueError("pcm: a block is missing")
+        out.append(b["pcm"])
+        at += len(b["pcm"])
+    return b"".join(out)
+
+
+def read_back(blocks: DataFrame) -> DataFrame:
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of ``pcm_blocks()`` rows."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for at, data in _groups(b, 2):
-                ids, no, offset, pcm = [], [], [], []
-                for i, blocks in zip(b.column(0).slice(at, len(data)).to_pylist(), decode(data)):
-                    for k in range(0, len(blocks), together):
-                        ids.append(i)
-                        no.append(k // together)
-                        offset.append(blocks[k][0])
-                        pcm.append(b"".join(x for _, x in blocks[k : k + together]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(no, pa.int32()), pa.array(offset, pa.int64()), pa.array(pcm, pa.binary())], ["id", "block", "sample_offset", "pcm"])
-
-    kind = media.schema["id"].dataType.simpleString()
-    return media.mapInArrow(run, f"id {kind}, block int, sample_offset long, pcm binary")
+            pcm: dict[str, list] = {"payload_bytes": [], "payload_sha256": [], "tail_crc32": [], "feature": []}
+            for x in b.column("blocks"):
+                p = joined(x.as_py())
+                pcm["payload_bytes"].append(len(p))
+                pcm["payload_sha256"].append(hashlib.sha256(p).hexdigest())
+                pcm["tail_crc32"].append(zlib.crc32(p[-64:]))
+                pcm["feature"].append(features(p))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("id"), b.column("n_bytes"), pa.array(pcm["payload_bytes"], pa.int64()), pa.array(pcm["payload_sha256"], pa.string()), pa.array(pcm["tail_crc32"], pa.int64()),
+                    b.column("media_bytes"), b.column("media_sha256"), pa.array(pcm["feature"], pa.string()),
+                ],
+                ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            )
+
+    batches(blocks.sparkSession)
+    kind = blocks.schema["id"].dataType.simpleString()
+    return blocks.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import bpe, html, licenses, media, mixing, quality, secrets, simhash, suffix, toxicity
-from wayfare.llm.common import table
+from wayfare.llm.common import materialize, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,7 +24,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.stored(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    blocks = materialize(media.pcm_blocks(media.stored(table(spark, sf_dir, "documents"))))
+    return media.read_back(blocks).withColumnRenamed("id", "doc_id")
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
