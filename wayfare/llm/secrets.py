@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import batches, sample_bound, sample_key, text
+from wayfare.llm.common import batches, quoted, sample_bound, sample_key, text
 
 #: The base patterns and how long a match must be.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -600,6 +600,7 @@ def redact(docs: DataFrame, field: Field, column: str = "text", mark: str = "[SE
     """docs with every span of its text replaced by ``mark``; null texts stay null, rows and columns stay."""
     held = docs.sparkSession.sparkContext.broadcast(field)
     names, at = docs.columns, docs.columns.index(column)
+    inner = [f"c{i}" for i in range(len(names))]
 
     def clean(t: str | None) -> str | None:
         if not t:
@@ -615,7 +616,8 @@ def redact(docs: DataFrame, field: Field, column: str = "text", mark: str = "[SE
         for b in it:
             cols = list(b.columns)
             cols[at] = pa.array([clean(t) for t in cols[at].to_pylist()], cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(cols, inner)
 
     batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(*[quoted(c).alias(i) for c, i in zip(names, inner)])
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
