@@ -53,6 +53,22 @@ def cache_key(airports: Column, *parts: Column) -> Column:
     return F.concat_ws("|", F.concat_ws(",", F.array_sort(airports)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
+def criteria_key(fields: dict[str, Column]) -> Column:
+    """Criteria of any order of fields in one form: names sorted, arrays sorted, times as milliseconds; equal criteria have equal keys.
+
+    Values are given by name; arrays and times are told by :func:`sorted_values` and :func:`epoch_ms`.
+    """
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+
+
+def sorted_values(a: Column) -> Column:
+    return F.array_sort(a)
+
+
+def epoch_ms(ts: Column) -> Column:
+    return F.unix_millis(ts.cast("timestamp"))
+
+
 def number_text(x: Column) -> Column:
     """A number without a fraction where it is whole."""
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))

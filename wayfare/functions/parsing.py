@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: pattern and format of the dates that are understood; patterns keep lenient formats apart.
+#: Pattern and format of the dates that are understood; patterns keep lenient formats apart.
 DATE_FORMATS = (
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
@@ -13,7 +13,9 @@ DATE_FORMATS = (
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
     (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
     (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$", "dd/MM/yyyy HH:mm:ss"),
+    (r"^\d{2}/\d{2}/\d{4}T\d{2}:\d{2}:\d{2}$", "dd/MM/yyyy'T'HH:mm:ss"),
     (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
+    (r"^\d{2}-\d{2}-\d{4}T\d{2}:\d{2}:\d{2}$", "dd-MM-yyyy'T'HH:mm:ss"),
     (r"^\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2}$", "dd-MM-yyyy HH:mm:ss"),
 )
 
@@ -28,6 +30,41 @@ def parse_date(s: Column) -> Column:
     return out
 
 
+def in_range(ts: Column, earliest: Column, latest: Column) -> Column:
+    return ts.between(earliest, latest)
+
+
+def day_text(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def day_start(ts: Column) -> Column:
+    return F.date_trunc("DAY", ts).cast("timestamp_ntz")
+
+
+def day_end(ts: Column) -> Column:
+    """The last millisecond of the day."""
+    return day_start(ts) + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MILLISECOND")
+
+
+def add_days(ts: Column, n: int) -> Column:
+    return ts + F.expr(f"INTERVAL {int(n)} DAYS")
+
+
+def same_day(a: Column, b: Column) -> Column:
+    return F.to_date(a) == F.to_date(b)
+
+
+def months_between_dates(a: Column, b: Column) -> Column:
+    """The first days of the months from a's to b's."""
+    return F.sequence(F.trunc(a, "MM"), F.trunc(b, "MM"), F.expr("INTERVAL 1 MONTH"))
+
+
+def parse_prefix_number(s: Column) -> Column:
+    """The number that a text begins with, with a fraction and an exponent if it has them."""
+    return F.nullif(F.regexp_extract(F.trim(s), r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0), F.lit("")).try_cast("double")
+
+
 def unquote(s: Column) -> Column:
     return F.when(F.contains(s, F.lit('"')), F.regexp_replace(s, '^"|"$', "")).otherwise(s)
 

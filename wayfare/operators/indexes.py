@@ -62,13 +62,12 @@ def price_bucket_counts(d: DataFrame) -> DataFrame:
 
 
 def index_stats(d: DataFrame) -> DataFrame:
-    """One row of exact cardinalities."""
-    a = d.select(F.explode(F.array_distinct(F.array(*AIRPORTS[:2]))).alias("a")).agg(F.countDistinct("a").alias("airports"))
-    s = d.agg(
-        F.count("*").alias("offers"), F.countDistinct("hotel_id").alias("hotels"), F.countDistinct(month_key("outbound_departure")).alias("months"),
-        F.countDistinct(passenger_key()).alias("passenger_combos"), F.countDistinct("meal_type").alias("meals"), F.countDistinct("room_type").alias("rooms"),
-    )
-    return s.join(F.broadcast(a))  # one row each
+    """One row of exact cardinalities: values by kind, combined before the shuffle, from one scan."""
+    kinds = {"hotels": F.col("hotel_id").cast("string"), "months": month_key("outbound_departure"), "passenger_combos": passenger_key(), "meals": F.col("meal_type"), "rooms": F.col("room_type")}
+    values = [F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()] + [F.struct(F.lit("airports").alias("kind"), F.col(a).alias("value")) for a in AIRPORTS[:2]]
+    x = d.select(F.explode(F.array(*values)).alias("x")).select("x.*").groupBy("kind", "value").agg(F.count("*").alias("c"))
+    of = lambda k: F.count(F.when(F.col("kind") == k, F.col("value"))).alias(k)
+    return x.agg(of("airports"), F.coalesce(F.sum(F.when(F.col("kind") == "hotels", F.col("c"))), F.lit(0)).cast("long").alias("offers"), *[of(k) for k in kinds])
 
 
 def selectivity(d: DataFrame, **conditions) -> DataFrame:
@@ -99,6 +98,12 @@ def by_passengers(d: DataFrame, adults: int, children: int) -> DataFrame:
     return d.where((F.col("count_adults") == adults) & (F.col("count_children") == children))
 
 
+def index_intersection(d: DataFrame, codes, earliest: datetime, latest: datetime, adults: int, children: int) -> DataFrame:
+    """Rows that are in the airport, date and passenger candidate sets: dates and passengers are part of the key, so a row is in
+    those sets as soon as it meets them itself, and one scan with all filters settles it."""
+    return by_passengers(by_dates(by_airports(d, codes), earliest, latest), adults, children)
+
+
 def intersect(first: DataFrame, *others: DataFrame, keys=KEY9) -> DataFrame:
     """Rows of ``first`` whose key is in every other candidate set."""
     for o in others:

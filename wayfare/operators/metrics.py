@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.operators.ranking import quantiles
+
+#: Limits, categories and, below, the words and shares of the rules.
 SLOW_MS, ALERT_COUNT, ALERT_US = 1000.0, 5, 60_000_000
+SEVERITIES, MEMORY_ALERT = ("low", "medium", "high", "critical"), 85
 CATEGORIES = ("memory", "io", "network", "validation", "data_processing", "unknown")
 
 
@@ -39,8 +43,11 @@ def recent_slow(d: DataFrame, keep: int = 1000, show: int = 20) -> DataFrame:
 
 def sustained_slow(d: DataFrame, micros: Column) -> DataFrame:
     """Slow requests with ALERT_COUNT or more slow ones of their endpoint in the trailing minute, which excludes its far end."""
-    w = Window.partitionBy("endpoint").orderBy("t").rangeBetween(-(ALERT_US - 1), 0)
-    return d.where(_slow()).withColumn("t", micros).withColumn("slow_count", F.count("*").over(w)).where(F.col("slow_count") >= ALERT_COUNT).select("event_id", "endpoint", "t", "slow_count")
+    d = d.where(_slow()).select("event_id", "endpoint", micros.alias("t")).withColumn("own", F.expr(f"t div {ALERT_US}"))
+    # windows hold a minute of an endpoint and the minute before, which each row is copied from into the next
+    d = d.withColumn("minute", F.explode(F.array("own", F.col("own") + 1)))
+    w = Window.partitionBy("endpoint", "minute").orderBy("t").rangeBetween(-(ALERT_US - 1), 0)
+    return d.withColumn("slow_count", F.count("*").over(w)).where((F.col("minute") == F.col("own")) & (F.col("slow_count") >= ALERT_COUNT)).select("event_id", "endpoint", "t", "slow_count")
 
 
 def search_stats(d: DataFrame, last: int = 10) -> DataFrame:
@@ -54,9 +61,8 @@ def cache_hit_rate(d: DataFrame, hit: Column) -> DataFrame:
 
 
 def percentiles(d: DataFrame, points=(0.5, 0.95, 0.99)) -> DataFrame:
-    """(p, value): nearest-rank percentiles."""
-    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"p{i}").alias("value")) for i, p in enumerate(points)])).alias("x")
-    return d.agg(*[F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY duration_ms)").alias(f"p{i}") for i, p in enumerate(points)]).select(rows).select("x.*")
+    """(p, value): nearest-rank percentiles, by counts of values."""
+    return quantiles(d, "duration_ms", points)
 
 
 def _has(m: Column, *words: str) -> Column:
@@ -98,6 +104,19 @@ def error_stats(spark, errors: DataFrame, operations: int | Column) -> DataFrame
     return d.withColumn("error_rate", F.when(ops > 0, F.col("n") / ops).otherwise(0.0)).withColumn("alert", F.col("error_rate") > 0.05)
 
 
+def error_severity_stats(errors: DataFrame) -> DataFrame:
+    """(severity, n, resolved) of ``errors(message, resolved)``, every severity present."""
+    c = errors.withColumn("category", error_category(F.col("message"))).groupBy(error_severity(F.col("message"), F.col("category")).alias("severity")).agg(F.count("*").alias("n"), F.count_if("resolved").alias("resolved"))
+    names = errors.sparkSession.createDataFrame([(x,) for x in SEVERITIES], "severity string")
+    zero = F.lit(0).cast("long")
+    return names.join(c, "severity", "left").select("severity", F.coalesce("n", zero).alias("n"), F.coalesce("resolved", zero).alias("resolved"))
+
+
+def memory_alert(used_percent: Column) -> Column:
+    """The alert rule of memory."""
+    return used_percent > MEMORY_ALERT
+
+
 def operation_stats(d: DataFrame) -> DataFrame:
     """One row of ``d(records, duration_ms, success)``; the success rate of none is 1."""
     return d.agg(
@@ -120,6 +139,11 @@ def complexity(airports: Column, dates: Column, passengers: Column, duration: Co
     return (airports > 1).cast("int") + dates.cast("int") + passengers.cast("int") + duration.cast("int")
 
 
+def complex_criteria(airports: Column, earliest: Column, latest: Column) -> Column:
+    """The second rule: more than five airports, or a date that is not given."""
+    return (airports > 5) | earliest.isNull() | latest.isNull()
+
+
 def search_strategy(offers: Column, pressure: Column, hint: Column, score: Column) -> Column:
     big = (offers > 50_000_000) | pressure.isin("critical", "high") | hint.isin("massive", "large") | (offers > 10_000_000)
     return F.when(big, "streaming").when((score >= 2) & (pressure == "low"), "parallel").otherwise("sequential")
@@ -141,5 +165,5 @@ def cache_evictions(d: DataFrame, now: Column, ttl_ms: int = 300_000, share: flo
     """(event_id, reason): entries older than the time to live, else the oldest tenth. ``d(event_id, ts)``; now in microseconds."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     d = d.select("event_id", us.alias("us"))
-    cut = d.agg(F.expr(f"percentile_disc({share}D) WITHIN GROUP (ORDER BY us)").alias("cut"))
+    cut = quantiles(d, "us", (share,)).select(F.col("value").alias("cut"))
     return d.join(F.broadcast(cut)).select("event_id", F.when(now - F.col("us") > ttl_ms * 1000, "expired").when(F.col("us") <= F.col("cut"), "oldest").alias("reason")).where("reason IS NOT NULL")

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.operators.criteria import SearchCriteria, condition
+from wayfare.operators.ranking import numbered
 
 #: The total order of offers: price, then everything that tells two offers apart.
 ORDER = ("price", "outbound_departure", "inbound_departure", "outbound_departure_airport", "room_type", "meal_type", "ocean_view", "l_orderkey", "l_partkey", "l_linenumber")
 SHOWN = ("hotel_id", "hotel_name", "hotel_stars", "min_price", "departure_date", "return_date", "room_type", "meal_type", "count_adults", "count_children", "duration", "available_offers")
-#: Hotels are broadcast only up to this many rows, a dimension's size; beyond, Spark chooses by statistics.
-BROADCAST_ROWS = 2_000_000
 
 
 def order_of(d: DataFrame) -> list[str]:
@@ -71,7 +70,7 @@ def hotel_offers(offers: DataFrame, hotel_id: int, c: SearchCriteria, limit: int
 
 def chunks(best: DataFrame, size: int = 100) -> DataFrame:
     """best plus the number of its result chunk in the order of price."""
-    return best.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy("min_price", "hotel_id")) - 1) / size).cast("int"))
+    return numbered(best, "min_price", ["min_price", "hotel_id"], "_rank").withColumn("chunk", F.floor(F.col("_rank") / size).cast("int")).drop("_rank")
 
 
 def first_matches(offers: DataFrame, c: SearchCriteria, n: int) -> DataFrame:

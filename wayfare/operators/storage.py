@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions.codes import month_key
 from wayfare.operators.criteria import SearchCriteria, month_bounds
+from wayfare.operators.ranking import ranked, text_bucket
 
 
 def write_offers(offers: DataFrame, path: str, codec: str = "zstd", mode: str = "overwrite") -> None:
     """Offers as Parquet by month of departure, sorted by hotel in each file, so that both prune."""
     d = offers.withColumn("month_key", month_key("outbound_departure"))
-    d.repartition("month_key", F.pmod(F.xxhash64("hotel_id"), F.lit(8))).sortWithinPartitions("month_key", "hotel_id", "price").write.mode(mode).option("compression", codec).partitionBy("month_key").parquet(path)
+    # by month, and large months dealt out in parts of the advised size
+    d.hint("rebalance", "month_key").sortWithinPartitions("month_key", "hotel_id", "price").write.mode(mode).option("compression", codec).partitionBy("month_key").parquet(path)
 
 
 def read_offers(spark: SparkSession, path: str, c: SearchCriteria | None = None) -> DataFrame:
@@ -29,7 +31,17 @@ def dictionary_stats(d: DataFrame, columns) -> DataFrame:
 
 def dictionary(d: DataFrame, column: str) -> DataFrame:
     """(value, code): codes of the distinct values in their order."""
-    return d.select(F.col(column).alias("value")).distinct().withColumn("code", F.dense_rank().over(Window.orderBy("value")) - 1)
+    return ranked(d.select(F.col(column).alias("value")).distinct(), text_bucket(F.col("value").cast("string")), ["value"], "code")
+
+
+def smallest_width(most: Column) -> Column:
+    """Bits of the smallest array that holds numbers up to ``most``."""
+    return F.when(most <= 255, 8).when(most <= 65535, 16).otherwise(32)
+
+
+def by_positions(d: DataFrame, position: str, positions: DataFrame) -> DataFrame:
+    """The rows at the given positions, ``positions(position)``; a position that is asked for twice comes once."""
+    return d.join(positions.select(F.col("position").alias(position)).distinct(), position, "left_semi")
 
 
 def block_stats(d: DataFrame, rows: int = 10_000) -> DataFrame:

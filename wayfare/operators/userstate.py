@@ -58,6 +58,57 @@ def triggered(alerts: DataFrame, prices: DataFrame) -> DataFrame:
     return d.select("alert_id", "user_id", "hotel_id", "target_price", "min_price")
 
 
+def since_deletion(log: DataFrame) -> DataFrame:
+    """The actions on shortlists that count: of a user who deleted the shortlist, those after the last deletion."""
+    deleted = log.where(_is("delete")).groupBy("user_id").agg(F.max(_at()).alias("deleted"))
+    d = log.where(_is("create", "add", "remove", "note")).join(deleted, "user_id", "left")
+    return d.where(F.col("deleted").isNull() | (_at() > F.col("deleted"))).drop("deleted")
+
+
+def item_notes(log: DataFrame) -> DataFrame:
+    """(user_id, hotel_id, notes) of items present: the last notes since the item was added."""
+    items = shortlist_items(log)
+    notes = log.where(_is("note")).join(items, ["user_id", "hotel_id"]).where(F.col("ts") >= F.col("added_at"))
+    return notes.groupBy("user_id", "hotel_id").agg(F.max(F.struct("ts", "event_id", "notes")).alias("x")).select("user_id", "hotel_id", "x.notes")
+
+
+def alert_states(log: DataFrame) -> DataFrame:
+    """(alert_id, user_id, hotel_id, target_price, created_at, is_active, triggered_at) of alerts that are not deleted.
+
+    The log's rows name the alert they act on in ``alert_id``: "activate", "deactivate", "trigger" and "delete_alert" after
+    its creation; the last of the first three says whether it is active, a trigger ends it and leaves its time.
+    """
+    acts = log.where(_is("activate", "deactivate", "trigger", "delete_alert")).select("alert_id", _at().alias("at"), "action")
+    made = log.where(_is("alert")).select("event_id", "ts", "user_id", "hotel_id", "target_price", _at().alias("made"))
+    acts = acts.join(made.select(F.col("event_id").alias("alert_id"), "made"), "alert_id").where("at > made")
+    last = acts.groupBy("alert_id").agg(
+        F.max(F.when(F.col("action") != "delete_alert", F.struct("at", "action"))).alias("last"), F.max(F.when(F.col("action") == "trigger", F.col("at"))).alias("t"), F.bool_or(F.col("action") == "delete_alert").alias("gone")
+    )
+    d = made.withColumnRenamed("event_id", "alert_id").join(last, "alert_id", "left").where(~F.coalesce("gone", F.lit(False)))
+    active = F.coalesce(F.col("last.action") == "activate", F.lit(True))
+    return d.select("alert_id", "user_id", "hotel_id", "target_price", F.col("ts").alias("created_at"), active.alias("is_active"), F.col("t.ts").alias("triggered_at"))
+
+
+def trigger(alerts: DataFrame, prices: DataFrame, now: Column) -> DataFrame:
+    """alerts after a look at ``prices(hotel_id, min_price)``: active ones at or over the least price are inactive and have the time."""
+    d = alerts.join(prices, "hotel_id", "left")
+    hit = F.coalesce(F.col("is_active") & (F.col("min_price") <= F.col("target_price")), F.lit(False))
+    return d.withColumns({"triggered_at": F.when(hit, now).otherwise(F.col("triggered_at")), "is_active": F.col("is_active") & ~hit}).select(*alerts.columns)
+
+
+def export_state(log: DataFrame, path: str) -> None:
+    """The present shortlist items and alerts as JSON, in folders of the path."""
+    shortlist_items(since_deletion(log)).write.mode("overwrite").json(f"{path}/items")
+    alert_states(log).write.mode("overwrite").json(f"{path}/alerts")
+
+
+def import_state(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(items, alerts) as export_state() wrote them; they replace what there is."""
+    items = spark.read.schema("user_id long, hotel_id long, added_at timestamp_ntz, price_when_added double").json(f"{path}/items")
+    alerts = "alert_id long, user_id long, hotel_id long, target_price double, created_at timestamp_ntz, is_active boolean, triggered_at timestamp_ntz"
+    return items, spark.read.schema(alerts).json(f"{path}/alerts")
+
+
 def stats(log: DataFrame) -> DataFrame:
     """One row: shortlists, items, users with alerts, alerts, active alerts."""
     lists, items, alerts = user_shortlists(log).agg(F.count("*").alias("shortlists")), shortlist_items(log).agg(F.count("*").alias("items")), price_alerts(log)

@@ -13,8 +13,9 @@ from wayfare.functions import codes, parsing
 from wayfare.operators import criteria as crit
 from wayfare.operators import indexes, mapping, metrics, recommend, search, sketches, storage, userstate
 from wayfare.operators.criteria import STANDARD, SearchCriteria
-from wayfare.plans import api
-from wayfare.plans.oracles import ORACLE_SQL
+from wayfare.plans import api, lifecycle
+from wayfare.plans.oracles import _VIEWS
+from wayfare.plans.oracles import ORACLE_SQL as _SQL
 from wayfare.sources import readers
 from wayfare.sources.fixtures import events, hotels, offers, request_log, table, user_log
 
@@ -92,8 +93,7 @@ named("candidates_by_passengers", lambda s, d: indexes.by_passengers(offers(s, d
 
 @query
 def index_intersection(s: SparkSession, d: str) -> DataFrame:
-    o = offers(s, d)
-    return indexes.intersect(indexes.by_airports(o, ("FRA",)), indexes.by_dates(o, EARLIEST, LATEST), indexes.by_passengers(o, 2, 0)).select(*KEYS)
+    return indexes.index_intersection(offers(s, d), ("FRA",), EARLIEST, LATEST, 2, 0).select(*KEYS)
 
 
 named("bucket_search", lambda s, d: indexes.bucket_search(offers(s, d), [1, 2, 3, 4], 120.0, 480.0, ["FRA", "MUC"]).select(*KEYS))
@@ -125,8 +125,15 @@ def raw_offers(s: SparkSession, d: str) -> DataFrame:
 
 PARSED = ["hotel_id", "price", "outbound_departure", "inbound_departure", "duration", "ocean_view"]
 named("ingest_offers_named", lambda s, d: readers.parse_offers(raw_offers(s, d)).valid.groupBy(*PARSED).agg(F.count("*").alias("n")))
-named("ingest_offers_pos15", lambda s, d: readers.parse_offers(raw_offers(s, d), "lax", "prefix").valid.groupBy(*PARSED).agg(F.count("*").alias("n")))
-named("ingest_offers_pos14", lambda s, d: readers.parse_offers(raw_offers(s, d).withColumn("duration", F.lit("9")), "lax").valid.groupBy(*PARSED).agg(F.count("*").alias("n")))
+
+
+def lines(raw: DataFrame, names: tuple[str, ...], sep: str) -> DataFrame:
+    """Rows as the lines of a file of that format; columns that raw does not have are empty."""
+    return raw.select(F.concat_ws(sep, *[F.col(n) if n in raw.columns else F.lit("") for n in names]).alias("line"))
+
+
+named("ingest_offers_pos15", lambda s, d: readers.parse_pos15(lines(raw_offers(s, d), readers.POSITIONS_15, ",")).valid.groupBy(*PARSED).agg(F.count("*").alias("n")))
+named("ingest_offers_pos14", lambda s, d: readers.parse_pos14(lines(raw_offers(s, d).withColumn("duration", F.lit("9")), readers.POSITIONS_14, ";")).valid.groupBy(*PARSED).agg(F.count("*").alias("n")))
 named("ingest_stats", lambda s, d: readers.parse_offers(raw_offers(s, d)).stats)
 named("ingest_hotels", lambda s, d: readers.parse_hotels(table(s, d, "supplier").select(F.expr("CASE WHEN s_suppkey % 17 = 0 THEN 'x' ELSE CAST(s_suppkey + 1 AS STRING) END").alias("hotelid"), F.expr("CASE WHEN s_suppkey % 19 = 0 THEN ' ' ELSE concat('\"', s_name, '\"') END").alias("hotelname"), F.expr("CAST(s_suppkey % 7 AS STRING)").alias("hotelstars"))).valid)
 
@@ -141,9 +148,18 @@ def typed_parse(s: SparkSession, d: str) -> DataFrame:
 
 
 named("parse_criteria", lambda s, d: events(s, d).select("event_id", F.array_join(parsing.split_list(F.expr("concat(' fra , ', event_type)")), "|").alias("airports"), F.expr("TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE '7' END AS INT)").alias("duration")))
-named("date_utils", lambda s, d: events(s, d).select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("day_start"), (F.date_trunc("DAY", "ts").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MILLISECOND")).alias("day_end"), (F.col("ts") + F.expr("INTERVAL 7 DAYS")).alias("week_later"), F.col("ts").between(F.lit("2024-01-10").cast("timestamp_ntz"), F.lit("2024-02-10").cast("timestamp_ntz")).alias("in_range")))
+
+
+@query
+def date_utils(s: SparkSession, d: str) -> DataFrame:
+    ts, at = F.col("ts"), lambda day: F.lit(day).cast("timestamp_ntz")
+    inside = parsing.in_range(ts, at("2024-01-10"), at("2024-02-10"))
+    return events(s, d).select("event_id", parsing.day_text(ts).alias("day"), parsing.day_start(ts).alias("day_start"), parsing.day_end(ts).alias("day_end"), parsing.add_days(ts, 7).alias("week_later"), inside.alias("in_range"))
+
+
+
 named("duration_nights", lambda s, d: offers(s, d).groupBy(crit.nights().cast("int").alias("nights"), crit.elapsed_days().alias("elapsed")).agg(F.count("*").alias("n")))
-named("months_in_range", lambda s, d: offers(s, d).select(F.explode(F.expr("sequence(trunc(outbound_departure, 'MM'), trunc(inbound_departure, 'MM'), INTERVAL 1 MONTH)")).alias("m")).groupBy(F.date_format("m", "yyyy-MM").alias("month")).agg(F.count("*").alias("n")))
+named("months_in_range", lambda s, d: offers(s, d).select(F.explode(parsing.months_between_dates(F.col("outbound_departure"), F.col("inbound_departure"))).alias("m")).groupBy(F.date_format("m", "yyyy-MM").alias("month")).agg(F.count("*").alias("n")))
 
 
 @query
@@ -173,8 +189,9 @@ def data_quality(s: SparkSession, d: str) -> DataFrame:
 @query
 def criteria_degrade(s: SparkSession, d: str) -> DataFrame:
     wide = SearchCriteria(("FRA", "MUC", "DUS", "HAM", "BER", "CGN"), datetime(1996, 1, 1), datetime(1996, 12, 31))
-    parts = [offers(s, d).where(crit.condition(crit.degrade(wide, level))).agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), "n") for level in ("low", "medium", "high", "critical")]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    levels = ("low", "medium", "high", "critical")
+    one = offers(s, d).agg(*[F.count_if(crit.condition(crit.degrade(wide, x))).alias(x) for x in levels])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(x).alias("n")) for x in levels])).alias("x")).select("x.*")
 
 
 named("cache_key", lambda s, d: events(s, d).select("event_id", codes.cache_key(F.array(F.lit("MUC"), F.lit("FRA"), F.col("event_type")), F.col("user_id"), F.expr("CAST(NULL AS STRING)")).alias("key")))
@@ -233,3 +250,8 @@ named("block_layout_stats", lambda s, d: storage.block_stats(offers(s, d)))
 named("bloom_sizing", lambda s, d: s.range(1, 7).select(F.pow(F.lit(10.0), F.col("id")).cast("long").alias("keys")).select("keys", *[v.alias(k) if k != "fpp" else F.round(v, 9).alias(k) for k, v in sketches.sizing(F.col("keys").cast("double"), F.lit(0.01)).items()]))
 named("counting_membership", lambda s, d: sketches.counting(user_log(s, d).where("action IN ('add', 'remove')").withColumn("change", F.expr("CASE action WHEN 'add' THEN 1 ELSE -1 END")), "hotel_id", "change"))
 named("bloom_membership", lambda s, d: sketches.membership(hotels(s, d).select(F.col("id").alias("hotel_id")), offers(s, d), "hotel_id", 1 << 20, 7))
+
+QUERIES |= lifecycle.QUERIES
+ORACLE_SQL = {**_SQL, **lifecycle.ORACLE_SQL}
+# a filter of these sizes has false positives at a rate of 1e-13 and less, so its answers are those of the set
+ORACLE_SQL["bloom_membership"] = f"{_VIEWS} SELECT DISTINCT hotel_id, hotel_id IN (SELECT id FROM hotels) AS maybe FROM offers"

@@ -62,3 +62,15 @@ def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, endpoint, duration_ms, user_id)."""
     return events(spark, sf_dir).select("event_id", "ts", F.col("event_type").alias("endpoint"), F.expr("value * 20").alias("duration_ms"), "user_id")
+
+
+def life_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As user_log(), with ``alert_id``, and with actions that delete shortlists and change alerts."""
+    decade = "event_id DIV 10"
+    action = f"""CASE event_id % 10 WHEN 0 THEN 'create' WHEN 1 THEN 'add' WHEN 2 THEN 'add' WHEN 3 THEN 'note' WHEN 4 THEN 'remove'
+        WHEN 5 THEN CASE WHEN {decade} % 3 = 0 THEN 'delete' ELSE 'add' END WHEN 6 THEN 'alert' WHEN 7 THEN CASE WHEN {decade} % 2 = 0 THEN 'deactivate' ELSE 'trigger' END
+        WHEN 8 THEN CASE WHEN {decade} % 3 = 0 THEN 'activate' END ELSE CASE WHEN {decade} % 5 = 0 THEN 'delete_alert' END END"""
+    return events(spark, sf_dir).select(
+        "event_id", "ts", F.expr(f"({decade}) % 40").alias("user_id"), F.expr(f"CAST(1 + ({decade} + event_id % 3) % 20 AS BIGINT)").alias("hotel_id"), F.expr("event_id - event_id % 10 + 6").alias("alert_id"),
+        F.expr("value * 4").alias("price"), F.expr("500 + value").alias("target_price"), F.col("props").alias("notes"), F.expr(action).alias("action"),
+    )

@@ -110,6 +110,20 @@ def read_offers_named(spark: SparkSession, path: str, sep: str = ",") -> Loaded:
     return parse_offers(d)
 
 
+def split_lines(lines: DataFrame, names: tuple[str, ...], sep: str) -> DataFrame:
+    """The text columns of lines(line) of a file without a usable header, by position; a line that is too short has nulls."""
+    kind = ", ".join(f"{n} string" for n in names)
+    return lines.select(F.from_csv("line", kind, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+
+
+def parse_pos15(lines: DataFrame) -> Loaded:
+    return parse_offers(split_lines(lines, POSITIONS_15, ","), "lax", "prefix")
+
+
+def parse_pos14(lines: DataFrame) -> Loaded:
+    return parse_offers(split_lines(lines, POSITIONS_14, ";"), "lax")
+
+
 def read_offers_pos15(spark: SparkSession, path: str) -> Loaded:
     return parse_offers(_csv(spark, path, ",", POSITIONS_15), "lax", "prefix")
 

@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from wayfare.functions.codes import month_key
 from wayfare.operators.mapping import known
 from wayfare.sources.readers import NAMED, parse_offers
 
 
-def ingest(spark: SparkSession, source: str, hotels: DataFrame, store: str, checkpoint: str, files: int = 100) -> StreamingQuery:
-    """New CSV files in a folder, appended to the store by month: one micro-batch for each ``files``, exactly once by batch number."""
+def ingest(spark: SparkSession, source: str, hotels: DataFrame, store: str, checkpoint: str, files: int = 100, rejects: str | None = None) -> StreamingQuery:
+    """New CSV files in a folder, appended to the store by month: one micro-batch for each ``files``, exactly once by batch number.
+
+    With ``rejects``, rows that do not parse and the counts of each batch are written below that folder likewise.
+    """
     raw = spark.readStream.schema(", ".join(f"{n} string" for n in NAMED)).option("header", True).option("maxFilesPerTrigger", files).csv(source)
 
     def append(d: DataFrame, batch: int) -> None:
-        good = known(parse_offers(d).valid, hotels).withColumns({"month_key": month_key("outbound_departure"), "batch": F.lit(batch)})
+        loaded = parse_offers(d)
+        if rejects:
+            for name, rows in (("rows", loaded.rejects), ("counts", loaded.stats)):
+                rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{rejects}/{name}")
+        good = known(loaded.valid, hotels).withColumns({"month_key": month_key("outbound_departure"), "batch": F.lit(batch)})
         # a batch that is run again replaces its own partitions
         good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "month_key").parquet(store)
 
@@ -36,3 +43,27 @@ def shortlist_state(log: DataFrame, store: str, checkpoint: str) -> StreamingQue
         d.withColumns({"batch": F.lit(batch), "slice": F.pmod(F.xxhash64("user_id"), F.lit(16))}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "slice").parquet(store)
 
     return log.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """Rows and batches of the streams of a session, for ``spark.streams.addListener``; ``on_batch`` is told each."""
+
+    def __init__(self, on_batch=None) -> None:
+        self.rows = self.batches = self.ended = 0
+        self.on_batch = on_batch
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches += 1
+        self.rows += p.numInputRows
+        if self.on_batch:
+            self.on_batch({"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended += 1
