@@ -93,7 +93,7 @@ def test_index_stats(offers):
     assert indexes.by_dates(offers, datetime(2025, 1, 1), datetime(2025, 1, 31)).count() == 0
 
 
-@pytest.mark.parametrize(("text", "want"), [("2024-06-01", "2024-06-01"), ("01/06/2024", "2024-06-01"), ("01-06-2024", "2024-06-01"), ("2024-06-01T12:00:00Z", "2024-06-01 12:00"), ("2024-06-01 09:30", "2024-06-01 09:30"), ("invalid", None), ("", None), ("2024-13-40", None)])
+@pytest.mark.parametrize(("text", "want"), [("2024-06-01", "2024-06-01"), ("01/06/2024", "2024-06-01"), ("01-06-2024", "2024-06-01"), ("2024-06-01T12:00:00Z", "2024-06-01 12:00"), ("2024-06-01 09:30", "2024-06-01 09:30"), ("01/06/2024T12:00:00", "2024-06-01 12:00"), ("01-06-2024 12:00:00", "2024-06-01 12:00"), (" 29/02/2024 ", "2024-02-29"), ("2024-06-01T12:00:00+02:00", "2024-06-01 10:00"), ("29/02/2023", None), ("01/06-2024", None), ("01/06/2024 24:00:00", None), ("invalid", None), ("", None), ("2024-13-40", None)])
 def test_dates(spark, text, want):
     got = spark.createDataFrame([(text,)], "s string").select(parsing.parse_date(F.col("s"))).first()[0]
     assert got == (want and datetime.fromisoformat(want))

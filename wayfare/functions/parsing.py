@@ -5,29 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Pattern and format of the dates that are understood; patterns keep lenient formats apart.
-DATE_FORMATS = (
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
-    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$", "dd/MM/yyyy HH:mm:ss"),
-    (r"^\d{2}/\d{2}/\d{4}T\d{2}:\d{2}:\d{2}$", "dd/MM/yyyy'T'HH:mm:ss"),
-    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
-    (r"^\d{2}-\d{2}-\d{4}T\d{2}:\d{2}:\d{2}$", "dd-MM-yyyy'T'HH:mm:ss"),
-    (r"^\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2}$", "dd-MM-yyyy HH:mm:ss"),
-)
+#: The dates that are understood, beside ISO forms with an offset. Year first: yyyy-MM-dd, alone or with
+#: " HH:mm", " HH:mm:ss" or "THH:mm:ss". Day first: dd/MM/yyyy and dd-MM-yyyy, alone or with " HH:mm:ss" or "THH:mm:ss".
+YEAR_FIRST = r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}|[ T]\d{2}:\d{2}:\d{2})?$"
+DAY_FIRST = r"^\d{2}([/-])\d{2}\1\d{4}([ T]\d{2}:\d{2}:\d{2})?$"
+WITH_OFFSET = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"
 
 
 def parse_date(s: Column) -> Column:
-    """A timestamp in UTC without zone; ISO forms with an offset are moved to UTC."""
+    """A timestamp in UTC without zone; ISO forms with an offset are moved to UTC.
 
+    Places of the parts are fixed, so a date with its day first is put year first, and one cast reads both; a formatter for
+    each form costs several times as much.
+    """
     s = F.trim(s)
-    out = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(s).cast("timestamp_ntz"))
-    for pattern, form in DATE_FORMATS:
-        out = out.when(s.rlike(pattern), F.try_to_timestamp(s, F.lit(form)).cast("timestamp_ntz"))
-    return out
+    dash = F.lit("-")
+    turned = F.concat(F.substring(s, 7, 4), dash, F.substring(s, 4, 2), dash, F.substring(s, 1, 2), F.substring(s, 11, 9))
+    iso = F.when(s.rlike(YEAR_FIRST), s).when(s.rlike(DAY_FIRST), turned)
+    return F.when(s.rlike(WITH_OFFSET), F.try_to_timestamp(s).cast("timestamp_ntz")).otherwise(iso.try_cast("timestamp_ntz"))
 
 
 def in_range(ts: Column, earliest: Column, latest: Column) -> Column:

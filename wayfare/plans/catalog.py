@@ -97,7 +97,7 @@ def index_intersection(s: SparkSession, d: str) -> DataFrame:
 
 
 named("bucket_search", lambda s, d: indexes.bucket_search(offers(s, d), [1, 2, 3, 4], 120.0, 480.0, ["FRA", "MUC"]).select(*KEYS))
-named("dedupe_key9", lambda s, d: indexes.dedupe(offers(s, d)).select(*KEYS))
+named("dedupe_key9", lambda s, d: indexes.dedupe(offers(s, d).select(*indexes.KEY9, *KEYS[2:])).select(*KEYS))
 named("mock_hotels", lambda s, d: readers.mock_hotels(s, 100))
 
 named("rec_personalized", lambda s, d: _flat(recommend.personalized(best(s, d, WIDE), userstate.is_shortlisted(userstate.shortlist_items(user_log(s, d)), 1))))
