@@ -164,6 +164,16 @@ def test_bloom_has_no_false_negatives(spark):
     assert all(r.maybe for r in got if r.k < 500) and sum(r.maybe for r in got if r.k >= 500) < 45
 
 
+def test_exact_membership_is_sql_in(spark):
+    """A filter far too small for its keys, null keys on either side, and an empty build."""
+    keys, probe = spark.range(0, 500).toDF("k"), spark.range(0, 1000).toDF("k")
+    null = spark.sql("SELECT CAST(NULL AS BIGINT) AS k")
+    ask = lambda build, p: {r.k: r.maybe for r in sketches.exact_membership(build, p, "k", 256, 7).collect()}
+    assert ask(keys, probe.union(probe).union(null)) == {**{k: k < 500 for k in range(1000)}, None: None}
+    assert ask(keys.union(null), probe.union(null)) == {**{k: k < 500 or None for k in range(1000)}, None: None}
+    assert ask(keys.where("k < 0"), probe.where("k < 3").union(null)) == {0: False, 1: False, 2: False, None: False}
+
+
 def test_stream_ingest_equals_batch(spark, hotels, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

@@ -1,4 +1,4 @@
-"""Bloom filters: sizes, membership, and an exact counting variant."""
+"""Bloom filters: sizes, membership, membership with an exact check, and an exact counting variant."""
 
 from __future__ import annotations
 
@@ -32,6 +32,19 @@ def membership(build: DataFrame, probe: DataFrame, key: str, bits: int, hashes:
     return d.groupBy(key).agg(F.min(set_).alias("maybe"))
 
 
+def exact_membership(build: DataFrame, probe: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
+    """membership() as SQL's IN answers it: a key that the filter lets through is looked up in build.
+
+    Right at any number of keys; a filter too small for them only lets more keys through to the join. As in SQL, the answer is
+    null for a null key, and where a key is not found but build holds a null; over an empty build it is false.
+    """
+    known = build.where(F.col(key).isNotNull()).select(F.col(key).alias("_known")).distinct()
+    sizes = build.agg((F.count("*") > 0).alias("_any"), (F.count("*") > F.count(key)).alias("_nulls"))
+    d = membership(build, probe, key, bits, hashes).join(known, F.col("maybe") & (F.col(key) == F.col("_known")), "left").crossJoin(F.broadcast(sizes))
+    unknown = F.col("_any") & (F.col(key).isNull() | F.col("_nulls"))
+    return d.select(key, F.when(F.col("_known").isNotNull(), True).when(~unknown, False).alias("maybe"))
+
+
 def counting(d: DataFrame, key: str, change: str) -> DataFrame:
     """(key, n, member) of additions and removals, exact."""
     return d.groupBy(key).agg(F.sum(change).alias("n")).withColumn("member", F.col("n") > 0)
