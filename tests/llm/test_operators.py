@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -120,6 +121,68 @@ def test_bpe_full(spark):
     assert r[1].decoded == "the cat <|endoftext|>" and len(r[1].ids) == r[1].n_tokens and r[2].ids == []
 
 
+class _Task:
+    def partitionId(self):
+        return 0
+
+
+def test_bpe_searches_pieces_once(monkeypatch):
+    """What stands between blanks is searched once in a chunk, however often the texts have it."""
+    import public_tokenizers as P
+    import pyspark
+    import regex
+
+    real, searched = regex.compile, []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.findall = lambda t, f=real(pattern).findall: searched.append(len(t)) or f(t)
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: _Task())
+    monkeypatch.setattr(regex, "compile", Counted)
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["The cat's 3 dogs, so it goes. " * 4000] * 2)], ["id", "t"])
+    for scan in (bpe._words(P.PATTERN, 8, 4), bpe._positions(P.PATTERN, 4)):
+        searched.clear()
+        assert sum(b.num_rows for b in scan(iter([docs])))
+        assert 0 < sum(searched) < 200
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_bpe_pieces_keep_matches(monkeypatch, own):
+    """Words put together by position are the matches of each whole text, whatever white space, clitics and characters it has."""
+    import public_tokenizers as P
+    import pyspark
+    import regex
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: _Task())
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 3000)
+    pattern = r"\w+ \w+|.|\s" if own else P.PATTERN
+    rng = np.random.default_rng(1)
+    parts = [*" " * 12, "a", "Bc", "é", "ﬁ", "日本", "ª", "×", "1", "٣", "'s", "'", "'re", ",", "...", "\n", "\t", "\r\n", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\ufeff", "\x1c", "\x00", "😀", "\u0301", "_"]
+    texts = ["", " ", "  ", "\n ", " \n", "a", " a", "a ", "a  b", "a \n b", "\x00 a", *("".join(rng.choice(parts, n)) for n in rng.integers(1, 60, 600))]
+    docs = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 100)), pa.array(texts[i : i + 100], pa.string())], ["id", "t"]) for i in range(0, 600, 100)]
+    words, got = {}, {}
+    for b in bpe._words(pattern, 8, 4)(iter(docs)):
+        for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist()):
+            numbers, sizes, joined = bpe._parts(data)
+            to = np.cumsum(bpe.unpack(sizes)).tolist()
+            for n, i, j in zip(np.cumsum(bpe.unpack(numbers)).tolist(), [0, *to], to):
+                assert words.setdefault((chunk, n), joined[i:j].decode()) == joined[i:j].decode()
+    for b in bpe._positions(pattern, 4)(iter(docs)):
+        for chunk, i, data in zip(*(b.column(c).to_pylist() for c in ("chunk", "id", "data"))):
+            got[i] = [words[chunk, n] for n in bpe.unpack(data).tolist()]
+    assert len({c for c, _ in words}) > 2
+    assert got == {i: regex.findall(pattern, t) for i, t in enumerate(texts[:600])}
+
+
+def test_bpe_only_empty_texts(spark):
+    import public_tokenizers as P
+
+    d = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string").coalesce(1)
+    r = bpe.encode_decode(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, full=True).collect()
+    assert {(x.id, x.n_tokens, x.decoded, x.ids_sha256) for x in r} == {(i, 0, "", hashlib.sha256(b"").hexdigest()) for i in (1, 2)}
+
+
 def test_pack():
     rng = np.random.default_rng(0)
     for top in (100, 1000, 70_000, 2**34):

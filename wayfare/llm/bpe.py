@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-1. Each task pre-tokenizes its documents in chunks of bounded size. A chunk's distinct words get local numbers by first
-   occurrence; every pre-token leaves its word's number at its position. One scan gives the distinct words of each chunk,
+1. Each task pre-tokenizes its documents in chunks of bounded size. Texts are cut at blanks where no match can go across,
+   and each distinct piece of a chunk is searched once. A chunk's distinct words get local numbers in the order of their
+   pieces; every pre-token leaves its word's number at its position. One scan gives the distinct words of each chunk,
    another the positions of each document, which so never travel with the words.
 2. Distinct words are dealt out by a hash bucket, sorted by bucket, and each is merged once where its bucket lies, a batch
    of words together. Only distinct words of a chunk travel, so a word that is a twentieth of all pre-tokens costs one row
@@ -21,16 +22,19 @@ are never produced: their strings are ordinary text.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import batches, input_bytes, text
 
-#: Characters of a chunk, and word buckets for each shuffle partition.
+#: Bytes of a chunk, and word buckets for each shuffle partition.
 CHUNK_BYTES, BUCKETS_EACH = 16 << 20, 4
 #: Input bytes, by Spark's statistics, for each shuffle partition, where that asks for more than spark.sql.shuffle.partitions.
 PARTITION_BYTES = 32 << 20
@@ -38,6 +42,13 @@ PARTITION_BYTES = 32 << 20
 LONG, TOGETHER = 48, 1 << 14
 #: A pattern that begins with English clitics says the same with them behind the words: no word begins with an apostrophe.
 CLITICS, WORDS = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+|", " ?\\p{L}++|'(?:s|t|re|ve|m|ll|d)|"
+#: What follows them in the pattern whose texts are searched in pieces; for any other pattern they are searched whole.
+OTHERS = " ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
+#: White space by any definition, and blanks that have none before them.
+SPACES = "[\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+CUTS = re.compile(f" (?<!{SPACES} )")
+#: Letters in every version of Unicode: with its blank such a piece is one match.
+LETTERS = "^[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+$"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -156,57 +167,130 @@ class Merger:
         return out
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Numbers under 2**35 as base-128 digits, low first, the last without the high bit."""
+def packs(numbers: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Numbers under 2**35 as base-128 digits, low first, the last without the high bit: a value for each part, as they end at ``ends``."""
     v = numbers.astype(np.uint64)
-    if not len(v) or v.max() < 128:
-        return v.astype(np.uint8).tobytes()
-    digits = np.stack([(v >> np.uint64(7 * k)).astype(np.uint8) & 127 for k in range(5)], 1)
-    size = 1 + sum((v >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
-    col = np.arange(5)
-    digits |= ((col[None, :] < size[:, None] - 1) * 128).astype(np.uint8)
-    return digits[col[None, :] < size[:, None]].tobytes()
+    cols = next((k for k in range(1, 5) if not len(v) or v.max() < 1 << 7 * k), 5)
+    size = np.ones(len(v), np.int64)
+    digits = np.empty((len(v), cols), np.uint8)
+    for k in range(cols):
+        digits[:, k] = (v >> np.uint64(7 * k)).astype(np.uint8) & 127
+        if k:
+            size += v >= np.uint64(1 << 7 * k)
+    col = np.arange(cols)
+    digits |= (col < size[:, None] - 1).astype(np.uint8) << 7
+    out = digits[col < size[:, None]].tobytes()
+    to = np.concatenate(([0], np.cumsum(size)))[ends].tolist()
+    return [out[i:j] for i, j in zip([0, *to], to)]
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers as one part."""
+    return packs(numbers, np.array([len(numbers)]))[0]
 
 
 def unpack(data: bytes) -> np.ndarray:
-    """What pack() was given."""
+    """What pack() was given; parts that stand one behind the other give all their numbers."""
     d = np.frombuffer(data, np.uint8)
     if not len(d) or d.max() < 128:
         return d.astype(np.int64)
-    last = d < 128
-    group = np.concatenate(([0], np.cumsum(last)[:-1]))
-    start = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
-    power = np.arange(len(d)) - start[group]
-    return np.add.reduceat((d & 127).astype(np.int64) << (7 * power), start)
+    last = np.flatnonzero(d < 128)
+    start = np.concatenate(([0], last[:-1] + 1))
+    v = (d[start] & 127).astype(np.int64)
+    for k in range(1, int((last - start).max()) + 1):
+        more = np.flatnonzero(last - start >= k)
+        v[more] |= (d[start[more] + k] & 127).astype(np.int64) << (7 * k)
+    return v
+
+
+def _joined(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Values of large types joined in parts that end at ``ends``."""
+    if not len(values):
+        return pa.array([b""] * len(ends), pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets[np.concatenate(([0], ends))]), values.buffers()[2]])
 
 
-def _chunks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+def _chunks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Documents (keys, texts) in chunks of about CHUNK_BYTES."""
-    keys: list = []
-    texts: list[str] = []
+    parts: list[pa.RecordBatch] = []
     size = 0
+    whole = lambda: tuple(pa.concat_arrays([p.column(i) for p in parts]) for i in (0, 1))
     for b in it:
-        for k, t in zip(b.column(0), b.column(1).to_pylist()):
-            keys.append(k)
-            texts.append(t)
-            size += len(t)
+        begin = 0
+        for i, n in enumerate(pc.binary_length(b.column(1)).to_pylist()):
+            size += n
             if size >= CHUNK_BYTES:
-                yield keys, texts
-                keys, texts, size = [], [], 0
-    if keys:
-        yield keys, texts
+                parts.append(b.slice(begin, i + 1 - begin))
+                yield whole()
+                parts, size, begin = [], 0, i + 1
+        if begin < b.num_rows:
+            parts.append(b.slice(begin))
+    if parts:
+        yield whole()
 
 
-class _Numbers(dict):
-    """Numbers of words by first occurrence."""
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(pieces, number of pieces of each text, order of the texts): texts cut at, and without, the blanks that follow no white space.
+
+    No match holds a blank behind other characters, and none asks for what stands before it, so the matches of the pieces,
+    each with its blank again, are those of the text. Texts with other blanks come last.
+    """
+    odd = pc.match_substring_regex(texts, SPACES + " ")
+    plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    cut = [CUTS.split(t) for t in texts.filter(odd).to_pylist()]
+    odd = odd.to_numpy(zero_copy_only=False)
+    n = np.concatenate((pc.list_value_length(plain).to_numpy(), np.array([len(x) for x in cut], np.int32)))
+    return pa.concat_arrays([plain.flatten(), pa.array(chain.from_iterable(cut), texts.type)]), n, np.argsort(odd, kind="stable")
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
 
+def _searched(texts: pa.Array, find, apart: bool) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of the distinct pieces, distinct piece at each place, number of words of each, number of places of each text, order of the texts).
 
-def _numbered(it: Iterator[pa.RecordBatch], pattern: str, partitions: int) -> Iterator[tuple[list[int], list, dict[str, int], list[list[int]]]]:
-    """([home, chunk, digest], keys, number of each distinct word, numbers of the pre-tokens by document) of each chunk.
+    Distinct pieces within texts are found in one search; both ends of a text, which may hold white space, each in its own.
+    """
+    pieces, n, order = _pieces(texts) if apart else (texts, np.ones(len(texts), np.int64), np.arange(len(texts)))
+    first = np.cumsum(n) - n
+    last = (first + n - 1)[n > 1]
+    inner = np.ones(len(pieces), bool)
+    inner[first] = inner[last] = False
+    inside = pieces.filter(pa.array(inner)).dictionary_encode()
+    outside = pa.concat_arrays([pieces.take(pa.array(first)), pc.binary_join_element_wise("", pieces.take(pa.array(last)), " ")]).dictionary_encode()
+    plain = pc.match_substring_regex(inside.dictionary, LETTERS)
+    rest = inside.dictionary.filter(pc.invert(plain))
+    whole = pc.binary_join_element_wise("", inside.dictionary.filter(plain), " ")
+    plain = plain.to_numpy(zero_copy_only=False)
+    words = find(" " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest), " ")[0].as_py()) if len(rest) else []
+    to = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    upto = np.searchsorted(to, np.cumsum(pc.utf8_length(rest).to_numpy() + 1), side="right")
+    ends = [find(p) for p in outside.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    count = np.ones(len(plain) + len(ends), np.int64)
+    count[: len(plain)][~plain] = np.diff(upto, prepend=0)
+    count[len(plain) :] = np.fromiter(map(len, ends), np.int64, len(ends))
+    # words in the order of their pieces, so that frequent ones have small numbers
+    words.extend(chain.from_iterable(ends))
+    at = np.ones(len(whole) + len(words), bool)
+    at[(np.cumsum(count) - count)[: len(plain)][plain]] = False
+    by = np.where(at, len(whole) + np.cumsum(at), np.cumsum(~at)) - 1
+    of = np.empty(len(pieces), np.int64)
+    of[inner] = inside.indices.to_numpy()
+    of[first], of[last] = np.split(outside.indices.to_numpy() + len(plain), [len(first)])
+    return pa.concat_arrays([whole, pa.array(words, texts.type)]).take(pa.array(by)).dictionary_encode(), of, count, n, order
+
+
+def _placed(codes: np.ndarray, of: np.ndarray, count: np.ndarray, n: np.ndarray, order: np.ndarray) -> list[bytes]:
+    """Packed word numbers of each text."""
+    each = count[of]
+    to = np.cumsum(each)
+    at = np.repeat((np.cumsum(count) - count)[of] - (to - each), each) + np.arange(to[-1])
+    out = packs(codes[at], to[np.cumsum(n) - 1])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return [out[i] for i in back.tolist()]
+
+
+def _numbered(it: Iterator[pa.RecordBatch], pattern: str, partitions: int) -> Iterator[tuple[list[int], pa.Array, pa.DictionaryArray, tuple]]:
+    """([home, chunk, digest], keys, numbered words, what _placed() asks for) of each chunk.
 
     Homes run on from one task to the next, so the chunks of neighbouring tasks go to different partitions.
     """
@@ -217,14 +301,12 @@ def _numbered(it: Iterator[pa.RecordBatch], pattern: str, partitions: int) -> It
     task = TaskContext.get().partitionId()
     find = regex.compile(WORDS + pattern[len(CLITICS) :] if pattern.startswith(CLITICS) else pattern).findall
     for k, (keys, texts) in enumerate(_chunks(it)):
-        number = _Numbers()
         digest = xxhash.xxh3_64()
-        seqs = []
         for t in texts:
-            digest.update(t.encode("utf-8", "surrogatepass"))
+            digest.update(t.as_buffer())
             digest.update(b"\xff")
-            seqs.append(list(map(number.__getitem__, find(t))))
-        yield [(task + 7919 * k) % partitions, task << 32 | k, digest.intdigest() >> 1], keys, number, seqs
+        words, *places = _searched(texts, find, pattern == CLITICS + OTHERS)
+        yield [(task + 7919 * k) % partitions, task << 32 | k, digest.intdigest() >> 1], keys, words, places
 
 
 NAME = "home int, chunk long, digest long"
@@ -241,15 +323,16 @@ def _words(pattern: str, buckets: int, partitions: int):
         import xxhash
 
         for name, _, number, _ in _numbered(it, pattern, partitions):
-            words = [w.encode("utf-8", "surrogatepass") for w in number]
-            if not words:
+            words = number.dictionary.cast(pa.large_binary())
+            if not len(words):
                 continue
-            home = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+            home = (np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), np.uint64, len(words)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(home, kind="stable")
+            words = words.take(pa.array(order))
+            ends = np.append(np.flatnonzero(np.diff(home[order])) + 1, len(order))
             rows = []
-            for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
-                ws = [words[i] for i in part]
-                rows.append((int(home[part[0]]), _blob(pack(np.diff(part, prepend=0)), pack(np.array([len(w) for w in ws])), b"".join(ws))))
+            for i, j, ws in zip([0, *ends[:-1].tolist()], ends.tolist(), _joined(words, ends)):
+                rows.append((int(home[order[i]]), _blob(pack(np.diff(order[i:j], prepend=0)), pack(pc.binary_length(words.slice(i, j - i)).to_numpy()), ws.as_py())))
             yield pa.RecordBatch.from_arrays([*_named(name, len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["home", "chunk", "digest", "bucket", "data"])
 
     return run
@@ -259,9 +342,9 @@ def _positions(pattern: str, partitions: int):
     """The mapInArrow function of the second scan: a row for each document with the word number at each position."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, keys, _, seqs in _numbered(it, pattern, partitions):
-            data = [pack(np.array(s, np.int64)) for s in seqs]
-            yield pa.RecordBatch.from_arrays([*_named(name, len(keys)), pa.array([1] * len(keys), pa.int32()), pa.array([k.as_py() for k in keys], keys[0].type), pa.array(data, pa.binary())], ["home", "chunk", "digest", "kind", "id", "data"])
+        for name, keys, number, places in _numbered(it, pattern, partitions):
+            data = _placed(number.indices.to_numpy(), *places)
+            yield pa.RecordBatch.from_arrays([*_named(name, len(keys)), pa.array([1] * len(keys), pa.int32()), keys, pa.array(data, pa.binary())], ["home", "chunk", "digest", "kind", "id", "data"])
 
     return run
 
@@ -282,15 +365,14 @@ def _parts(packed: bytes) -> list[bytes]:
     return out
 
 
-def _encoded(ranks):
+def _encoded(held):
     """The mapInArrow function of step 2. Rows come sorted by bucket, so the words known so far are those of one bucket."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = None
+        merger: Merger = held.value
         known: dict[bytes, list[int]] = {}
         now = -1
         for b in it:
-            merger = merger or Merger(ranks.value)
             rows = []
             new: dict[bytes, None] = {}
             for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()):
@@ -316,27 +398,25 @@ def _encoded(ranks):
 
 
 class _Chunk:
-    """The words of a chunk as they are said, decoded and counted."""
+    """The words of a chunk as they are said, each id with a comma behind it, decoded and counted."""
 
     def __init__(self, digest: int) -> None:
-        self.digest, self.of, self.ready = digest, {}, False
+        self.digest, self.parts, self.count = digest, [], None
 
     def add(self, data: bytes) -> None:
         numbers, counts, ids = map(unpack, _parts(data))
-        at, flat = 0, ids.tolist()
-        for n, c in zip(np.cumsum(numbers).tolist(), counts.tolist()):
-            self.of[n] = flat[at : at + c]
-            at += c
-
-    def close(self, table: dict[int, bytes]) -> None:
-        if not self.ready:
-            self.ready = True
-            if max(self.of, default=-1) + 1 != len(self.of):
+        self.parts.append((np.cumsum(numbers), counts, ids))
+
+    def close(self, said: pa.Array, raw: pa.Array) -> None:
+        if self.count is None:
+            numbers, counts, ids = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*self.parts) if self.parts else [()] * 3))
+            order = np.argsort(numbers)
+            if (numbers[order] != np.arange(len(numbers))).any():
                 raise ValueError("a word of the chunk has no ids")
-            self.each = [self.of[i] for i in range(len(self.of))]
-            self.said = [",".join(map(str, x)) for x in self.each]
-            self.raw = [b"".join([table[i] for i in x]) for x in self.each]
-            self.count = np.array([len(x) for x in self.each], np.int64)
+            flat, ends, by = pa.array(ids), np.cumsum(counts), pa.array(order)
+            self.count = counts[order]
+            self.said, self.raw = (_joined(x.take(flat), ends).take(by) for x in (said, raw))
+            self.ids = pa.LargeListArray.from_arrays(np.concatenate(([0], ends)), flat).take(by)
 
 
 def _assembled(tokens, kind: pa.DataType, full: bool):
@@ -346,32 +426,45 @@ def _assembled(tokens, kind: pa.DataType, full: bool):
         import hashlib
 
         table = tokens.value
+        said = pa.array([b"%d," % i for i in range(max(table) + 1)], pa.large_binary())
+        raw = pa.array([table.get(i, b"") for i in range(max(table) + 1)], pa.large_binary())
         now, c = None, _Chunk(0)
         for b in it:
-            ids, rows = [], {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-            key = b.column("id")
-            for i, (chunk, digest, what, data) in enumerate(zip(*(b.column(n).to_pylist() for n in ("chunk", "digest", "kind", "data")))):
-                if chunk != now:
-                    now, c = chunk, _Chunk(digest)
-                if digest != c.digest:
+            what, data = b.column("kind").to_numpy(), b.column("data")
+            chunks, digests = b.column("chunk").to_numpy(), b.column("digest").to_numpy()
+            cuts = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(what) != 0) | (np.diff(digests) != 0)) + 1
+            rows = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(what)]):
+                if i == j:
+                    continue
+                if chunks[i] != now:
+                    now, c = chunks[i], _Chunk(digests[i])
+                if digests[i] != c.digest:
                     raise ValueError("the documents of a chunk changed between the scans")
-                if what == 0:
-                    c.add(data)
+                values = data.slice(i, j - i).to_pylist()
+                if what[i] == 0:
+                    for v in values:
+                        c.add(v)
                     continue
-                c.close(table)
-                seq = unpack(data)
-                at = seq.tolist()
-                if at and max(at) >= len(c.each):
+                c.close(said, raw)
+                packed = b"".join(values)
+                seq = unpack(packed)
+                if len(seq) and seq.max() >= len(c.count):
                     raise ValueError("the documents of a chunk changed between the scans")
-                ids.append(i)
-                rows["n_tokens"].append(int(c.count[seq].sum()) if at else 0)
-                rows["ids_sha256"].append(hashlib.sha256(",".join([c.said[k] for k in at]).encode()).hexdigest())
-                decoded = b"".join([c.raw[k] for k in at])
-                rows["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
+                # a number ends where the high bit is not set
+                upto = np.concatenate(([0], np.cumsum(np.frombuffer(packed, np.uint8) < 128)))[np.cumsum([len(v) for v in values])]
+                n = np.concatenate(([0], np.cumsum(c.count[seq])))[upto]
+                by = pa.array(seq)
+                for s in _joined(c.said.take(by), upto):
+                    rows["ids_sha256"].append(hashlib.sha256(memoryview(s.as_buffer())[:-1]).hexdigest())
+                texts = _joined(c.raw.take(by), upto)
+                rows["decoded_sha256"] += [hashlib.sha256(s.as_buffer()).hexdigest() for s in texts]
+                rows["n_tokens"] += np.diff(n, prepend=0).tolist()
                 if full:
-                    rows["ids"].append([x for k in at for x in c.each[k]])
-                    rows["decoded"].append(decoded.decode("utf-8", "replace"))
-            cols = [key.take(pa.array(ids, pa.int64())).cast(kind), pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["ids_sha256"], pa.string()), pa.array(rows["decoded_sha256"], pa.string())]
+                    ids = c.ids.take(by).flatten().to_pylist()
+                    rows["ids"] += [ids[x:y] for x, y in zip([0, *n.tolist()], n.tolist())]
+                    rows["decoded"] += [s.as_py().decode("utf-8", "replace") for s in texts]
+            cols = [b.column("id").filter(pa.array(what == 1)).cast(kind), pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["ids_sha256"], pa.string()), pa.array(rows["decoded_sha256"], pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if full:
                 cols += [pa.array(rows["ids"], pa.list_(pa.int32())), pa.array(rows["decoded"], pa.string())]
@@ -388,7 +481,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
     spark: SparkSession = docs.sparkSession
     batches(spark)
     ranks = read_ranks(ranks_path)
-    held = spark.sparkContext.broadcast(ranks)
+    held = spark.sparkContext.broadcast(Merger(ranks))
     tokens = spark.sparkContext.broadcast({i: b for b, i in ranks.items()})
     kind_sql, kind = docs.schema[id_column].dataType.simpleString(), to_arrow_type(docs.schema[id_column].dataType)
     size = input_bytes(docs)
