@@ -334,6 +334,44 @@ def test_suffix(spark, length):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def _shared(rows, n):
+    """Words in passages of n words that another document has too."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    where = collections.defaultdict(set)
+    for row, w in zip(rows, split):
+        for i in range(len(w) - n + 1):
+            where[tuple(w[i : i + n])].add(row)
+    return [len({i + k for i in range(len(w) - n + 1) if len(where[tuple(w[i : i + n])]) > 1 for k in range(n)}) for w in split]
+
+
+@pytest.mark.parametrize("n", [50, 7])
+def test_suffix_shared_passages(spark, n):
+    """Passages too short for the removal are found where another document has them, whatever stands between their words."""
+    rng = random.Random(8)
+    words = lambda n: [rng.choice(["ab", "é", "x" * 300, "c\x1cd", "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6)))]) for _ in range(n)]
+    glue = lambda w: "".join(x + rng.choice([" ", "\n", "\t ", "\x0b"]) for x in w)
+    parts = [words(51) for _ in range(4)]
+    data = [glue(words(rng.randint(0, 90)) + rng.choice(parts)[rng.randint(0, 1) * rng.randint(0, 30) :] + words(rng.randint(0, 90))) for _ in range(40)]
+    data += [glue(words(60) * 3), "a " * 400, "a " * 60, "b " * 300, None, "", " \n", " ".join(parts[0][:50]), " ".join(parts[1][:49]), " ".join(["of"] * 20 + parts[2]), data[0]]
+    rows = [*enumerate(data), (0, data[0]), (5, data[9]), (None, data[7]), (100, glue(p := words(80)) + glue(p)), (100, glue(words(80) * 2))]
+    got = suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), words=n).collect()
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = _shared(rows, n)
+    assert sorted(((r.id, r.n_shared_words) for r in got), key=order) == sorted(zip((i for i, _ in rows), want), key=order)
+    assert any(w > 50 for w in want[:40]) and want[40] == 0 < want[41]
+    assert suffix.without_repeats(spark.createDataFrame([(1, "")], "doc_id long, text string"), words=n).collect()[0].n_shared_words == 0
+
+
+def test_suffix_word_segments(monkeypatch):
+    """Words get the same identifiers wherever a buffer is cut."""
+    data = np.frombuffer(("ab cd \n" + "x" * 500 + " é ab " * 40 + "y" * 90 + " " * 70 + "cd").encode(), np.uint8)
+    starts, ids = suffix.word_ids(data)
+    monkeypatch.setattr(suffix, "SEGMENT", 64)
+    again = suffix.word_ids(data)
+    short = np.diff(np.append(starts, len(data))) < 64
+    assert (starts == again[0]).all() and (ids[short] == again[1][short]).all() and ids[0] == ids[4] and ids[1] == ids[-1] and len(set(ids.tolist())) == 5
+
+
 def test_suffix_segments(monkeypatch):
     """Runs of a long document cut into segments cover the same starts."""
     rng = random.Random(4)

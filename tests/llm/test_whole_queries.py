@@ -159,6 +159,19 @@ def test_op6_suffix_dedup(spark):
     assert got == want and sum(v[1] > 0 for v in want.values()) > 50
 
 
+def test_op6_shared_passages(spark):
+    """A passage of over 50 words, too short to be removed, is told in each of the documents that have it."""
+    split = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in _docs(spark, SF_MORE).collect()}
+    where = collections.defaultdict(set)
+    for k, w in split.items():
+        for i in range(len(w) - 49):
+            where[hash(tuple(w[i : i + 50]))].add(k)
+    want = {k: len({i + j for i in range(len(w) - 49) if len(where[hash(tuple(w[i : i + 50]))]) > 1 for j in range(50)}) for k, w in split.items()}
+    got = {r.doc_id: (r.n_shared_words, r.n_removed) for r in queries.op6_suffix_dedup(spark, SF_MORE).collect()}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert any(n and not gone for n, gone in got.values()) and any(gone and not n for n, gone in got.values())
+
+
 def test_op3_blocks_and_features(spark, tmp_path):
     """Blocks of the written table are sought by offset; features and the stream's digest are of the payload."""
     docs = _docs(spark)

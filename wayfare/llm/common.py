@@ -7,6 +7,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,18 +79,40 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/wayfare-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, *partition_by: str, path: str = "") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut there, lost executors recompute from the files.
 
     The files stay until the application ends, as results that are still lazy may read them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfare-{uuid.uuid4().hex}"
+    path = path or scratch_path(spark)
     atexit.register(_drop_quietly, spark, path)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """materialize() for tables that nothing reads after the block: they are deleted at its end, and shuffles that are done can go."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.append(scratch_path(spark))
+        return materialize(df, path=paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            _drop_quietly(spark, path)
+        spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver no longer holds their plans
+
+
 #: Range of sample_key().
 KEYS = 1 << 31
 

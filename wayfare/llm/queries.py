@@ -38,7 +38,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.without_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return suffix.without_repeats(table(spark, sf_dir, "documents"), words=suffix.WORDS).withColumnRenamed("id", "doc_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
